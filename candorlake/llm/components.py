@@ -1,0 +1,47 @@
+"""Connected components of an edge table by alternating large and small stars.
+
+Each round replaces edges by edges to smaller neighbours: a large star ties the larger neighbours of a
+node to the smallest one around it, a small star does so for the smaller neighbours. The number of
+rounds grows with the logarithm of the longest path. The minimum of a node's neighbours is a partial
+aggregate, and a hub's edges are joined with that one row, which adaptive execution can split; no
+neighbour list is ever built. Each round is written to the shared folder, so a lost executor costs one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from candorlake.llm.common import discard, stored
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges: (u, v) with u > v."""
+    if large:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # u's larger neighbours: edges in which u is the smaller end
+        near = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
+        return near.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of an edge; root is the smallest node of its component.
+
+    edges: two columns of one orderable type, in either order, repeats and loops allowed. A node with
+    loops only is left out, as are nulls.
+    """
+    a, b = edges.columns
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
+    before = None
+    while True:
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = state
+        then = now
+        now = stored(_star(_star(now, large=True), large=False))
+        discard(then)

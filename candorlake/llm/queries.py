@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candorlake.llm import bfd, packing, rollup
+from candorlake.llm import bfd, neardup, oracles, packing, rollup
 from candorlake.llm.common import shared_folder, stored, table
 from candorlake.llm.tokens import token_counts
 
@@ -34,9 +34,16 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def op9_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_best_fit_matrices": op3_best_fit_matrices,
     "op8_token_rollup": op8_token_rollup,
+    "op9_coordinate_join": op9_coordinate_join,
+}
+ORACLES: dict[str, str] = {
+    "op9_coordinate_join": oracles.NEAR_DUPLICATES,
 }
-ORACLES: dict[str, str] = {}
