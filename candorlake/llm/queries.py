@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candorlake.llm import bfd, neardup, oracles, packing, rollup
+from candorlake.llm import bfd, decontam, langid, neardup, oracles, packing, rollup
 from candorlake.llm.common import shared_folder, stored, table
 from candorlake.llm.tokens import token_counts
 
@@ -17,6 +17,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd.pack_matrices(table(spark, sf_dir, "documents"))
 
@@ -38,11 +42,17 @@ def op9_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_bm25_decontamination": op2_bm25_decontamination,
     "op3_best_fit_matrices": op3_best_fit_matrices,
     "op8_token_rollup": op8_token_rollup,
     "op9_coordinate_join": op9_coordinate_join,
+    "op10_byte_network_language": op10_byte_network_language,
 }
 ORACLES: dict[str, str] = {
     "op9_coordinate_join": oracles.NEAR_DUPLICATES,
