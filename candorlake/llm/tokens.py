@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -19,10 +20,16 @@ from pyspark.sql import DataFrame
 from candorlake.llm.common import rows_of
 
 #: Entries of each of the memo's two generations (about 200 bytes each), and the longest chunk that it keeps.
-MEMO_ENTRIES, MEMO_BYTES = 300_000, 48
+MEMO_ENTRIES, MEMO_BYTES = 500_000, 48
 END_OF_DOCUMENT = 2
 #: A full stop or comma between a plain letter or digit and white space is a token run of its own.
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: Letters that are in normal form and whose lower case is one letter of the same kind.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,48}")
+#: How byte-level models spell bytes: printable ones as themselves, the rest from U+0100 on, in order.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPELLING = {b: 0x100 + i for i, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
+_PACKED = struct.Struct("<I").pack
 
 
 def default_tokenizer() -> str:
@@ -43,6 +50,7 @@ class ChunkTokenizer:
         self._old: dict[bytes, bytes] = {}
         special = {t.content: i for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
         self._mark, self._mark_id = next(reversed(special.items()), (None, None))
+        self._plain = self._encode_alone("Éàz") == b"".join([_PACKED(t.id) for t in self._tokenizer.model.tokenize("éàz".encode("utf-8").decode("latin-1").translate(_SPELLING))])
         self._starts = tuple({s[:2].encode() for s in special})
 
     def _chunks(self, text: bytes | None) -> list[bytes]:
@@ -53,14 +61,19 @@ class ChunkTokenizer:
         return _STOP.sub(rb" \1", text.lower()).split()
 
     def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new chunks: encoded as one text with a special token between them, which costs a
-        fraction of a call for each."""
-        mark = self._mark
+        """Ids of new chunks. A run of plain letters is one word to the tokenizer, already in its normal
+        form: it goes to the merge model at once. Others are encoded as one text with a special token
+        between them, which costs a fraction of a call for each."""
+        mark, merge = self._mark, self._tokenizer.model.tokenize
         together, alone = [], []
+        out = {}
         for chunk in chunks:
             text = chunk.decode("utf-8")
-            (alone if mark is None or mark in text else together).append((chunk, text))
-        out = {}
+            if self._plain and _LETTERS.fullmatch(text):
+                spelled = text.lower().encode("utf-8").decode("latin-1").translate(_SPELLING)
+                out[chunk] = b"".join([_PACKED(t.id) for t in merge(spelled)])
+            else:
+                (alone if mark is None or mark in text else together).append((chunk, text))
         for at in range(0, len(together), 4096):
             part = together[at : at + 4096]
             encoded = self._tokenizer.encode_batch_fast([f" {mark} ".join([t for _, t in part])], add_special_tokens=False)
@@ -69,13 +82,16 @@ class ChunkTokenizer:
             data = ids.tobytes()
             out.update((c, data[4 * i + 4 : 4 * j]) for (c, _), i, j in zip(part, cuts, cuts[1:]))
         for chunk, text in alone:
-            out[chunk] = np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out[chunk] = self._encode_alone(text)
         return out
 
+    def _encode_alone(self, text: str) -> bytes:
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         split = [self._chunks(t) for t in texts]
         young, old = self._young, self._old
-        missing = {c for chunks in split for c in chunks if c not in young}
+        missing = set().union(*split).difference(young)
         known = {c: old[c] for c in missing if c in old}
         known.update(self._learn([c for c in missing if c not in known]))
         if len(young) + len(known) > MEMO_ENTRIES:
