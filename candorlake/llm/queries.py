@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candorlake.llm import bfd, decontam, langid, neardup, oracles, packing, rollup
+from candorlake.llm import bfd, compression, decontam, langid, neardup, oracles, packing, rollup, rules
 from candorlake.llm.common import shared_folder, stored, table
 from candorlake.llm.tokens import token_counts
 
@@ -25,6 +25,14 @@ def op3_best_fit_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd.pack_matrices(table(spark, sf_dir, "documents"))
 
 
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: inserted with their numbers of words, revised to their numbers
     of token ids (this batch is committed twice, as after a crash), and those without a word deleted."""
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_bm25_decontamination": op2_bm25_decontamination,
     "op3_best_fit_matrices": op3_best_fit_matrices,
+    "op4_compression_quality": op4_compression_quality,
+    "op7_divergence_rules": op7_divergence_rules,
     "op8_token_rollup": op8_token_rollup,
     "op9_coordinate_join": op9_coordinate_join,
     "op10_byte_network_language": op10_byte_network_language,
