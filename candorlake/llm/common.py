@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
@@ -68,3 +68,17 @@ def discard(df: DataFrame) -> None:
 def bucket(doc_id, parts: int):
     """crc32 of the id's decimal text, modulo parts; null for a null id."""
     return F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % F.lit(parts)
+
+
+def lowest_hashes(rows: DataFrame, key: str, count: int, shares: int = 256) -> DataFrame:
+    """Of rows (doc_id, key), for each key the ``count`` with the smallest hash of their id.
+
+    First within shares of each key, then among the shares' winners: no task gets more than
+    shares * count rows of a key that holds most of the table.
+    """
+    hashed = rows.withColumn("hash", F.xxhash64("doc_id"))
+    hashed = hashed.withColumn("share", F.pmod("hash", F.lit(shares)))
+    for by in ((key, "share"), (key,)):
+        order = Window.partitionBy(*by).orderBy("hash", "doc_id")
+        hashed = hashed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count).drop("rank")
+    return hashed.drop("hash", "share")

@@ -24,10 +24,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import bucket, id_and_text, rows_of
+from candorlake.llm.common import bucket, id_and_text, lowest_hashes, rows_of
 
 PER_CLASS = 1200
 PIECES, PIECE = 3, 2000
@@ -93,8 +93,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, known: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, int, list[str]]]:
     """(doc_id, label, pieces) of a bounded sample of rows (doc_id, label)."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * per_class).drop("rank")
+    chosen = lowest_hashes(known, "label", 2 * per_class)
     ends = F.greatest(F.length("text") - PIECE, F.lit(0))
     pieces = [F.substring("text", (ends * (i / max(1, PIECES - 1))).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)]
     rows = id_and_text(docs).filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.array_distinct(F.array(*pieces)).alias("pieces"))

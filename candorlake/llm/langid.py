@@ -1,9 +1,7 @@
 """Language identification by a byte-level convolutional network, trained and applied in numpy.
 
-A filter of width w adds up one weight per byte at each of its w places; its largest value over a window
-of WINDOW bytes is a feature; a softmax layer turns the features into probabilities of languages. As the
-input is bytes, a filter's sums are looked up: tables over pairs of bytes (65,536 rows, 2 MB) replace
-the multiplications. A text, lower-cased, is cut into windows that together cover all of it; the mean of
+Filters of several widths slide over windows of WINDOW bytes; the largest value of each is a feature, and
+a softmax layer turns the features into probabilities of languages (see bytenet). A text, lower-cased, is cut into windows that together cover all of it; the mean of
 their probabilities, by length, decides.
 
 Training takes at most DOCS_PER_LANGUAGE documents of each language, those with the smallest hash
@@ -22,111 +20,44 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import bucket, id_and_text, rows_of
+from candorlake.llm.bytenet import Network, Scorer, fit
+from candorlake.llm.common import bucket, id_and_text, lowest_hashes, rows_of
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOCUMENT = 400, 4
-EPOCHS, BATCH, RATE = 8, 64, 0.02
+EPOCHS = 8
 SHORTEST = 8
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-class Network(NamedTuple):
+class Identifier(NamedTuple):
     languages: list[str]
-    #: One array (width, 256, FILTERS) for each width.
-    weights: list[np.ndarray]
-    bias: np.ndarray
-    dense: np.ndarray
-    dense_bias: np.ndarray
-
-
-class Scorer:
-    """A network with its lookup tables."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self._tables = []
-        for w in net.weights:
-            pairs = [(w[j][:, None, :] + w[j + 1][None, :, :]).reshape(65536, -1) for j in range(0, len(w) - 1, 2)]
-            self._tables.append((pairs, w[-1] if len(w) % 2 else None))
-
-    def maps(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        """(windows, places, FILTERS) for each width."""
-        pair = (x[:, :-1].astype(np.int32) << 8) | x[:, 1:]
-        for (pairs, last), w in zip(self._tables, self.net.weights):
-            places = x.shape[1] - len(w) + 1
-            out = np.take(pairs[0], pair[:, :places], axis=0)
-            for j, t in enumerate(pairs[1:], 1):
-                out += np.take(t, pair[:, 2 * j : 2 * j + places], axis=0)
-            if last is not None:
-                out += np.take(last, x[:, len(w) - 1 :], axis=0)
-            yield out
-
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        h = np.concatenate([m.max(axis=1) for m in self.maps(x)], axis=1)
-        return _softmax(np.maximum(h + self.net.bias, 0) @ self.net.dense + self.net.dense_bias)
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def train(texts: list[str], languages: list[str], seed: int = 7) -> Network | None:
+    network: Network
+
+
+def train(texts: list[str], languages: list[str]) -> Identifier | None:
     """texts: windows of text; shorter crops of them are drawn anew for each epoch."""
     names = sorted(set(languages))
     if not names:
         return None
-    rng = np.random.default_rng(seed)
-    labels = np.array([names.index(x) for x in languages])
     data = [_bytes(t)[:WINDOW] for t in texts]
-    params = [rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
-    bias = np.zeros(len(WIDTHS) * FILTERS, dtype=np.float32)
-    dense = rng.normal(0, 0.3, (len(bias), len(names))).astype(np.float32)
-    dense_bias = np.zeros(len(names), dtype=np.float32)
-    every = [*params, bias, dense, dense_bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in every]
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(data))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            x = np.full((len(rows), WINDOW), 32, dtype=np.uint8)
-            for i, r in enumerate(rows):
-                n = min(len(data[r]), int(np.exp(rng.uniform(np.log(SHORTEST), np.log(WINDOW + 1)))))
-                start = rng.integers(0, len(data[r]) - n + 1)
-                x[i, :n] = data[r][start : start + n]
-            net = Network(names, params, bias, dense, dense_bias)
-            h, best = [], []
-            for m in Scorer(net).maps(x):
-                best.append(m.argmax(axis=1))
-                h.append(np.take_along_axis(m, best[-1][:, None, :], axis=1)[:, 0])
-            h = np.concatenate(h, axis=1) + bias
-            p = _softmax(np.maximum(h, 0) @ dense + dense_bias)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            p /= len(rows)
-            back = (p @ dense.T) * (h > 0)
-            grads = []
-            for k, w in enumerate(WIDTHS):
-                g = np.zeros_like(params[k])
-                own = back[:, k * FILTERS : (k + 1) * FILTERS]
-                for j in range(w):
-                    np.add.at(g[j], (np.take_along_axis(x, best[k] + j, axis=1), np.arange(FILTERS)[None, :]), own)
-                grads.append(g)
-            grads += [back.sum(axis=0), np.maximum(h, 0).T @ p, p.sum(axis=0)]
-            step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
-            for q, g, (m1, m2) in zip(every, grads, moments):
-                m1 += 0.1 * (g - m1)
-                m2 += 0.001 * (g * g - m2)
-                q -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return Network(names, params, bias, dense, dense_bias)
+
+    def crops(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        x = np.full((len(rows), WINDOW), 32, dtype=np.uint8)
+        for i, r in enumerate(rows):
+            n = min(len(data[r]), int(np.exp(rng.uniform(np.log(SHORTEST), np.log(WINDOW + 1)))))
+            start = rng.integers(0, len(data[r]) - n + 1)
+            x[i, :n] = data[r][start : start + n]
+        return x
+
+    labels = np.array([names.index(x) for x in languages])
+    return Identifier(names, fit(crops, labels, len(names), WIDTHS, FILTERS, EPOCHS))
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -136,8 +67,7 @@ def _bytes(text: str) -> np.ndarray:
 def training_windows(docs: DataFrame, learn: Column, per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Windows of text and their languages, from a bounded sample of the rows where ``learn`` holds."""
     rows = docs.filter(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).filter(F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    chosen = lowest_hashes(rows.select("doc_id", "lang"), "lang", per_language).distinct()
     ends = F.greatest(F.length("text") - WINDOW, F.lit(0))
     pieces = [F.substring("text", (ends * (i / max(1, WINDOWS_PER_DOCUMENT - 1))).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_PER_DOCUMENT)]
     found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "doc_id", F.explode(F.array_distinct(F.array(*pieces))).alias("piece"))
@@ -145,9 +75,9 @@ def training_windows(docs: DataFrame, learn: Column, per_language: int = DOCS_PE
     return [r[2] for r in found], [r[0] for r in found]
 
 
-def _predictor(net: Network | None):
+def _predictor(net: Identifier | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = net and Scorer(net)
+        scorer = net and Scorer(net.network)
         for batch in batches:
             for ids, texts in rows_of(batch, binary=False):
                 known = [i for i, t in enumerate(texts) if scorer and t and _LETTER.search(t)]
@@ -192,7 +122,7 @@ def held_out(parts: int = 4, which: int = 2) -> Column:
     return F.coalesce(bucket("doc_id", parts) == which, F.lit(False))
 
 
-def identify(docs: DataFrame, network: Network | None = None) -> DataFrame:
+def identify(docs: DataFrame, network: Identifier | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row; trains on the rows that aren't held out unless
     given a network."""
     if network is None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candorlake.llm import bfd, compression, decontam, langid, neardup, oracles, packing, rollup, rules
+from candorlake.llm import bfd, compression, decontam, langid, neardup, oracles, packing, pii, rollup, rules, secretscan, spans
 from candorlake.llm.common import shared_folder, stored, table
 from candorlake.llm.tokens import token_counts
 
@@ -29,6 +29,24 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _spans_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of base spans by kind, the digest of the base spans, and all spans as text."""
+    return found.select(
+        "doc_id",
+        *[spans.count_of(F.col("spans"), k).alias(f"n_{k}") for k in kinds],
+        F.sha2(spans.listed(spans.base_of(F.col("spans"))).cast("binary"), 256).alias("base_sha256"),
+        spans.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans_digest(pii.find(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
+
+
+def op6_network_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans_digest(secretscan.find(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
 def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -59,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bm25_decontamination": op2_bm25_decontamination,
     "op3_best_fit_matrices": op3_best_fit_matrices,
     "op4_compression_quality": op4_compression_quality,
+    "op5_boosted_pii": op5_boosted_pii,
+    "op6_network_secrets": op6_network_secrets,
     "op7_divergence_rules": op7_divergence_rules,
     "op8_token_rollup": op8_token_rollup,
     "op9_coordinate_join": op9_coordinate_join,
