@@ -82,3 +82,22 @@ def lowest_hashes(rows: DataFrame, key: str, count: int, shares: int = 256) -> D
         order = Window.partitionBy(*by).orderBy("hash", "doc_id")
         hashed = hashed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count).drop("rank")
     return hashed.drop("hash", "share")
+
+
+#: Ids that are broadcast at most, some 16 MB; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how).select(*docs.columns)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't among ids (one column of that name); a null id is never among them."""
+    return _by_ids(docs, ids, "left_anti")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids."""
+    return _by_ids(docs, ids, "left_semi")
