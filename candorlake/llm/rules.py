@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candorlake.llm.common import stored
+
 #: Frequent short words of each language.
 COMMON_WORDS = {
     "de": ["auf", "das", "dem", "den", "der", "des", "die", "ein", "eine", "für", "im", "in", "ist", "mit", "nicht", "sich", "und", "von", "zu"],
@@ -29,10 +31,10 @@ COMMON_WORDS = {
     "es": ["con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "para", "por", "que", "se", "su", "un", "una", "y"],
     "fr": ["au", "avec", "dans", "de", "des", "du", "en", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une"],
 }
-#: Character classes that are counted by pattern; with white space, symbols and the rest they are all.
-CLASSES = {"upper": r"[A-ZÀ-ÖØ-Þ]+", "digit": r"[0-9]+", "stop": r"[.,;:!?'\"()-]+", "wide": r"[^\x00-\x7FÀ-ÖØ-Þ]+"}
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\f\r"
+#: Character classes that are counted by pattern. The histogram is one of bytes: these, white
+#: space, symbols, the bytes that continue a character beyond ASCII, and the rest (mostly small letters).
+CLASSES = {"upper": r"[A-Z]+", "digit": r"[0-9]+", "stop": r"[.,;:!?'\"()-]+"}
+SYMBOLS = r"[#*$%&|<>]+"
 _SPLIT = r"[\x20\x09-\x0D]+"
 RUN = 8
 LEAST_BASE_WORDS, REPEATED_PERCENT = 20, 30
@@ -42,8 +44,9 @@ CHAR_LIMIT, CHAR_CHANCE = 0.15, 2.5
 WORD_LIMIT, WORD_CHANCE = 0.15, 1.3
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _number_of(text: Column, pattern: str) -> Column:
+    """Characters in matches of a pattern."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
 def _histograms(rows: DataFrame) -> DataFrame:
@@ -54,31 +57,48 @@ def _histograms(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "n_words": F.size("words").cast("long"),
         "n_chars_": F.length(text),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": _without(text, SYMBOLS).cast("long"),
-        "of_class": F.array(*[F.length(text) - F.length(F.regexp_replace(text, p, "")) for p in CLASSES.values()]),
+        "n_bytes_": F.octet_length(text),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_symbols": _number_of(text, SYMBOLS).cast("long"),
+        "of_class": F.array(*[_number_of(text, p).cast("long") for p in CLASSES.values()]),
         "known": F.filter("words", lambda w: w.isin(every)),
     })
-    spaces = F.col("n_chars_") - F.col("word_chars")
-    counted = F.aggregate("of_class", F.lit(0), lambda s, x: s + x)
-    rows = rows.withColumn("chars", F.concat(F.transform("of_class", lambda x: x.cast("long")), F.array(spaces, "n_symbols", F.col("word_chars") - F.col("n_symbols") - counted)))
-    count = lambda w: (F.size("known") - F.size(F.array_remove("known", w))).cast("long")
-    per_word = {w: count(w) for w in every}
-    return rows.withColumn("common", F.array(*[F.array(*[per_word[w] for w in words]) for words in COMMON_WORDS.values()]))
+    further = [F.col("n_chars_") - F.col("word_chars"), F.col("n_symbols"), (F.col("n_bytes_") - F.col("n_chars_")).cast("long")]
+    counted = sum([F.col("of_class")[i] for i in range(len(CLASSES))], sum(further, F.lit(0)))
+    rows = rows.withColumn("chars", F.concat("of_class", F.array(*further, F.col("n_bytes_") - counted)))
+    # Counts by word: the common words sorted, and where each one's stretch begins.
+    rows = rows.withColumn("sorted", F.sort_array("known"))
+    first = F.transform("sorted", lambda w, i: F.when((i == 0) | (F.get("sorted", i - 1) != w), F.struct(w.alias("w"), i.alias("i"))))
+    rows = rows.withColumn("firsts", F.filter(first, lambda e: e.isNotNull()))
+    until = lambda i: F.coalesce(F.get("firsts", i + 1)["i"], F.size("sorted"))
+    rows = rows.withColumn("counts", F.map_from_arrays(F.transform("firsts", lambda e: e["w"]), F.transform("firsts", lambda e, i: until(i) - e["i"])))
+    of = lambda w: F.coalesce(F.try_element_at("counts", F.lit(w)), F.lit(0))
+    return rows.withColumn("common", F.array(*[F.array(*[of(w) for w in words]) for words in COMMON_WORDS.values()]))
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """One row a document: all that its text is judged by, and its language."""
+    language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    rows = _histograms(rows).withColumn("lines", lines)
+    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    kept = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_chars_", "n_bytes_", "chars", "common"]
+    return _repeats(rows.select(*kept, "words")).select(*kept, "n_repeat_words")
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of character classes, and of common words with all other words last, by language."""
-    rows = _histograms(docs.filter(F.col("lang").isin(list(COMMON_WORDS))).select("lang", F.coalesce("text", F.lit("")).alias("text")))
+def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """Shares of byte classes, and of common words with all other words last, by language, of profiles."""
     names = list(COMMON_WORDS)
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 3)]
+    size = len(CLASSES) + 4
+    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(size)]
     widest = max(map(len, COMMON_WORDS.values()))
     own = F.get("common", F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1)
-    rows = rows.select("lang", "chars", "n_words", own.alias("own"))
+    rows = rows.filter(F.col("lang").isin(names)).select("lang", "chars", "n_words", own.alias("own"))
     sums += [F.sum(F.get("own", F.lit(i))).alias(f"w{i}") for i in range(widest)]
     out = {}
     for r in rows.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect():
-        chars = [r[f"c{i}"] for i in range(len(CLASSES) + 3)]
+        chars = [r[f"c{i}"] for i in range(size)]
         words = [r[f"w{i}"] for i in range(len(COMMON_WORDS[r.lang]))]
         if r.n and sum(chars):
             out[r.lang] = [c / sum(chars) for c in chars], [w / r.n for w in [*words, r.n - sum(words)]]
@@ -110,23 +130,19 @@ def _repeats(rows: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, known: dict[str, tuple[list[float], list[float]]] | None = None) -> DataFrame:
     """One row a document: the counts, base_failed, the distances from the closest language, kept."""
-    known = references(docs) if known is None else known
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = _histograms(rows).withColumn("lines", lines)
-    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("n_chars_", F.lit(1))
+    rows = stored(profiles(docs))
+    known = references(rows) if known is None else known
+    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("n_bytes_", F.lit(1))
     rows = rows.withColumn("char_shares", F.transform("chars", lambda x: x / chars))
     per_language = []
     for i, name in enumerate(COMMON_WORDS):
         if name in known:
             own = F.col("common")[i]
-            other = F.col("n_words") - F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x)
-            shares = F.transform(F.concat(own, F.array(other)), lambda x: x / n)
+            other = F.col("n_words") - F.aggregate(own, F.lit(0), lambda s, x: s + x)
+            shares = F.transform(F.concat(own.cast("array<bigint>"), F.array(other)), lambda x: x / n)
             per_language.append(F.struct(_distance(shares, known[name][1]).alias("words"), F.lit(name).alias("lang"), _distance(F.col("char_shares"), known[name][0]).alias("chars")))
     closest = F.array_min(F.array(*per_language)) if per_language else F.lit(None).cast("struct<words: double, lang: string, chars: double>")
-    rows = rows.withColumn("closest", closest).select("doc_id", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_chars_", F.col("closest.lang").alias("closest_lang"), F.col("closest.chars").alias("char_distance"), F.col("closest.words").alias("word_distance"))
-    rows = _repeats(rows)
+    rows = rows.withColumn("closest", closest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_", F.col("closest.lang").alias("closest_lang"), F.col("closest.chars").alias("char_distance"), F.col("closest.words").alias("word_distance"))
     failed = (F.col("n_words") < LEAST_BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     odd_chars = (F.col("n_chars_") >= LEAST_CHARS) & (F.col("char_distance") > CHAR_LIMIT + CHAR_CHANCE / F.sqrt(F.greatest("n_chars_", F.lit(1))))
     odd_words = (F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > WORD_LIMIT + WORD_CHANCE / F.sqrt(n))
