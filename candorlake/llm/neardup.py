@@ -10,9 +10,14 @@
    text, fall out of the prefix unless a node consists of little else.
 4. In each prefix list all nodes are paired with the first one only. Pairs that collide often enough are
    confirmed on their full sets; confirmed links make first components.
-5. Skip: a list whose nodes are all in one component is done. In the others, all pairs of *different*
-   components are compared, in blocks of BLOCK nodes a side, so that no task holds a whole list;
-   the pairs that collide often enough are confirmed likewise. So no link between components is lost.
+5. Skip: a list whose nodes are all in one component is done. The others are dealt out in blocks of BLOCK
+   nodes; in a block, nodes of different components are compared by signature, and on their full sets where
+   they collide often enough, most collisions first. A link joins two components, and their other pairs
+   are passed over, so a block reports fewer links than it has nodes. A pair that shares several
+   lists is looked at in the first of them.
+6. Lists of more than one block that are still open: every block of their largest component meets the
+   nodes outside it, and those meet each other, likewise. So no link between components is lost, no
+   task holds a whole list, and what is written grows with the nodes, not with their pairs.
 
 Edge cases: null text, empty text and text without a word have no shingles, stay alone and are kept;
 repeated rows are exact copies; a null doc_id counts as larger than any id; an empty table gives an
@@ -30,14 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import discard, id_and_text, rows_of, stored
+from candorlake.llm.common import id_and_text, rows_of, stored
 from candorlake.llm.components import components
 from candorlake.llm.shingles import shingle_sets, signatures
 
 COORDINATES = 64
 #: Standard deviations below its mean down to which a link's number of matching coordinates is sought.
 MARGIN = 5.5
-BLOCK = 512
+BLOCK = 256
+#: Pairs of one node that are confirmed at a time.
+AT_ONCE = 32
 #: Candidate nodes are broadcast to the scan of the texts up to this many (about 100 bytes each).
 BROADCAST_NODES = 300_000
 
@@ -73,38 +80,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in fit], pa.int64()), pa.array([sets[i].tobytes() for i in fit], pa.binary())], ["node", "shingles"])
 
 
+def _traits(prefix: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, signature, prefix, shingles) of the nodes in prefix lists, as a stored table."""
+    tokens = prefix.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
+    wanted = stored(nodes.join(tokens, "node").select("node", "signature", "prefix", "set_key", "least_id"))
+    few = wanted.count() <= BROADCAST_NODES
+    key = wanted.select("node", "set_key", "least_id")
+    texts = docs.join(F.broadcast(key) if few else key, F.col("doc_id").eqNullSafe(F.col("least_id")))
+    sets = texts.select("node", "text", "set_key").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    return stored(wanted.join(sets, "node").select("node", "signature", "prefix", "shingles"))
+
+
+def _linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets are similar enough to x; all sorted and without repeats."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    at = np.searchsorted(x, every)
+    at[at == len(x)] = 0
+    common = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * common >= percent * (len(x) + sizes - common)
+
+
 def _confirmer(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
+            sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3)]
+            good = pa.array([bool(_linked(x, [y], percent)[0]) for x, y in zip(*sets)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
     return confirm
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, as a stored table."""
-    pairs = stored(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", "set_key", "least_id"))
-    few = wanted.count() <= BROADCAST_NODES
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("least_id")))
-    sets = stored(texts.select("node", "text", "set_key").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    links = stored(both.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long"))
-    for used in (pairs, wanted, sets):
-        discard(used)
-    return links
-
-
 def _colliding(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree in enough coordinates."""
     x = nodes.select(F.col("node").alias("a"), F.col("signature").alias("x"))
@@ -113,46 +119,126 @@ def _colliding(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(agree >= matches).select("a", "b")
 
 
-def _block_matcher(matches: int):
-    """Rows sorted by (token, i, j): pairs of different components between blocks i and j of a list."""
+class _Union(dict):
+    """Components that have been joined: each to an older one."""
+
+    def root(self, c: int) -> int:
+        while c in self:
+            c = self[c]
+        return c
+
 
-    def compare(key, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, i, j = key
-        node = np.array([r[0] for r in rows], dtype=np.int64)
-        comp = np.array([r[1] for r in rows], dtype=np.int64)
-        block = np.array([r[2] for r in rows], dtype=np.int64)
-        sig = np.array([r[3] for r in rows], dtype=np.int32)
-        right = np.flatnonzero(block == j)
-        for a in np.flatnonzero(block == i):
-            others = right[(comp[right] != comp[a]) & ((node[right] > node[a]) if i == j else True)]
-            for b in others[(sig[others] == sig[a]).sum(axis=1) >= matches]:
-                yield tuple(sorted((int(node[a]), int(node[b]))))
+def _block_links(token: int, left: list[int], right: list[int], rows: list[tuple], matches: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join components, between the rows numbered left and those numbered right.
+
+    rows: (node, comp, signature, sorted prefix, shingles).
+    """
+    joined = _Union()
+    right = np.array(right)
+    node = np.array([r[0] for r in rows])
+    comp = np.array([r[1] for r in rows])
+    signature = np.array([rows[i][2] for i in right])
+    earlier = [r[3][: np.searchsorted(r[3], token)] for r in rows]
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    inner = set(left) & set(right.tolist())
+    for a in left:
+        agree = (signature == np.asarray(rows[a][2])).sum(axis=1)
+        fits = (agree >= matches) & (comp[right] != comp[a]) & (100 * np.minimum(sizes[right], sizes[a]) >= percent * np.maximum(sizes[right], sizes[a]))
+        if a in inner:
+            fits &= node[right] > node[a]
+        order = np.flatnonzero(fits)
+        order = order[np.argsort(-agree[order], kind="stable")]
+        queue = [int(b) for b in right[order]]
+        own = set(earlier[a].tolist())
+        for at in range(0, len(queue), AT_ONCE):
+            root = joined.root(int(comp[a]))
+            some = [b for b in queue[at : at + AT_ONCE] if joined.root(int(comp[b])) != root and own.isdisjoint(earlier[b].tolist())]
+            if not some:
+                continue
+            for b, linked in zip(some, _linked(sets[a], [sets[b] for b in some], percent)):
+                x, y = joined.root(int(comp[a])), joined.root(int(comp[b]))
+                if linked and x != y:
+                    joined[y] = x
+                    yield int(node[a]), int(node[b])
+
+
+def _matcher(matches: int, percent: int):
+    """Batches of (token, x, y, main, block, node, comp, signature, prefix, shingles), sorted by the first three.
+
+    Group x >= 0: block x of the list's main component against block y of the rest. x < 0: blocks -1 - x
+    and y of the rest.
+    """
+
+    def of_group(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        token, x, y = key
+        others = [i for i, r in enumerate(rows) if not r[0]]
+        left = [i for i in others if rows[i][1] == y]
+        right = [i for i, r in enumerate(rows) if r[0]] if x >= 0 else [i for i in others if rows[i][1] == -1 - x]
+        if not left or not right:
+            return []
+        return list(_block_links(token, left, right, [r[2:] for r in rows], matches, percent))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, found = None, [], set()
+        key, rows, found = None, [], []
 
-        def flush():
-            made = pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())
+        def flush() -> pa.RecordBatch:
+            made = [pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)]
             found.clear()
-            return pa.RecordBatch.from_arrays(list(made), ["a", "b"])
+            return pa.RecordBatch.from_arrays(made, ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in range(batch.num_columns)]
-            for token, i, j, node, comp, block, sig in zip(*columns):
-                if (token, i, j) != key:
-                    if rows:
-                        found.update(compare(key, rows))
-                    key, rows = (token, i, j), []
-                    if len(found) > 50_000:
-                        yield flush()
-                rows.append((node, comp, block, sig))
-        if rows:
-            found.update(compare(key, rows))
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                keys = zip(*[part.column(i).to_pylist() for i in range(3)])
+                plain = [part.column(i).to_pylist() for i in range(3, 7)]
+                arrays = [[v.values.to_numpy() for v in part.column(i)] for i in (7, 8)]
+                for k, *row in zip(keys, *plain, *arrays, part.column(9).to_pylist()):
+                    if k != key:
+                        found += of_group(key, rows) if rows else []
+                        key, rows = k, []
+                    rows.append(tuple(row))
+                if len(found) > 10_000:
+                    yield flush()
+        found += of_group(key, rows) if rows else []
         yield flush()
 
     return match
 
 
+def _placed(prefix: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, node, comp) of all prefix lists, and (token, n) of those with several components."""
+    placed = prefix.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
+    still = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high")
+    return placed, still.select("token", "n")
+
+
+def _against_main(placed: DataFrame) -> DataFrame:
+    """Deals out the lists (token, n, node, comp) so that each block of a list's largest component meets all
+    other nodes, and those meet each other."""
+    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top")).select("token", F.col("top.comp").alias("top"), F.col("top.size").alias("size"))
+    rows = placed.join(largest, "token").withColumns({
+        "main": F.col("comp") == F.col("top"),
+        "mains": F.ceil(F.col("size") / BLOCK).cast("int"),
+        "rests": F.ceil((F.col("n") - F.col("size")) / BLOCK).cast("int"),
+    })
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    group = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = F.col("block")
+    of_main = F.transform(every("rests"), lambda y: group(block, y))
+    of_rest = F.concat(F.transform(every("mains"), lambda x: group(x, block)), F.transform(every("rests"), lambda y: group(-1 - F.least(block, y), F.greatest(block, y))))
+    rows = rows.withColumn("group", F.explode(F.when(F.col("main"), of_main).otherwise(of_rest)))
+    return rows.select("token", "group.x", "group.y", "main", "block", "node", "comp")
+
+
+def _compared(dealt: DataFrame, traits: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links (a, b) found in groups of rows (token, x, y, main, block, node, comp)."""
+    rows = dealt.join(traits, "node").select("token", "x", "y", "main", "block", "node", "comp", "signature", "prefix", "shingles")
+    return stored(rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_matcher(matches, percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
 
@@ -172,20 +258,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = posted.join(frequency, "token").withColumns({"rank": F.row_number().over(of_node.orderBy("df", "token")), "n": F.count("*").over(of_node)})
     prefix = stored(shared.filter((F.col("n") >= matches) & (F.col("rank") <= F.col("n") - matches + 1)).select("token", "node"))
 
-    first = prefix.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = prefix.join(first, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    links = _confirmed(_colliding(pairs, nodes, matches), nodes, docs, percent)
+    listed = prefix.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    prefix = stored(prefix.join(listed, "token"))
+    traits = _traits(prefix, nodes, docs)
+
+    pairs = prefix.select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    pairs = _colliding(pairs, nodes, matches)
+    both = pairs.join(traits.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(traits.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long")
     roots = stored(components(links))
 
-    placed = prefix.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
-    open_lists = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high")
-    blocked = placed.join(open_lists, "token").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
-    lists = blocked.join(nodes.select("node", "signature"), "node").select("token", "i", "j", "node", "comp", "block", "signature")
-    across = lists.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_block_matcher(matches), "a long, b long").distinct()
-    more = _confirmed(across, nodes, docs, percent)
-    roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    placed, still = _placed(prefix, roots)
+    spread = placed.join(still, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    dealt = spread.select("token", (-1 - F.col("block")).alias("x"), F.col("block").alias("y"), F.lit(False).alias("main"), "block", "node", "comp")
+    links = _compared(dealt, traits, matches, percent)
+    roots = stored(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+
+    placed, still = _placed(prefix, roots)
+    dealt = _against_main(placed.join(still.filter(F.col("n") > BLOCK), "token"))
+    links = _compared(dealt, traits, matches, percent)
+    roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     grouped = stored(nodes.join(roots, "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root")))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
