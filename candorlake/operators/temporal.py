@@ -117,11 +117,14 @@ def co_burst_reviewers(links: DataFrame) -> DataFrame:
     return links.join(co_burst_pairs(links), ["place_a", "burst_a", "place_b", "burst_b"], "left_semi").select(F.col("reviewer").alias("reviewer_user_id")).distinct()
 
 
-def scores(df: DataFrame, attributes: Sequence[str], place: str = "place_id", ts: str = "created_at") -> DataFrame:
-    """(review_id, in_burst, burst_suspicion_score, burst_attr_homogeneity, in_co_burst) for each row."""
-    inside = in_bursts(df, place, ts)
+def scores(df: DataFrame, attributes: Sequence[str], place: str = "place_id", ts: str = "created_at", inside: DataFrame | None = None) -> DataFrame:
+    """(review_id, in_burst, burst_suspicion_score, burst_attr_homogeneity, in_co_burst) for each row.
+
+    inside: the rows of bursts, where they have been found (and written) before.
+    """
+    inside = in_bursts(df, place, ts) if inside is None else inside
     windows = adjusted_windows(df, inside, attributes, place).select("place", "burst_id", "burst_suspicion_score", "homogeneity")
-    days = burst_days(df, place, ts).filter("is_burst").select("place", "day", "burst_id").join(windows, ["place", "burst_id"])
+    days = inside.select("place", "day", "burst_id").distinct().join(windows, ["place", "burst_id"])
     flagged = co_burst_reviewers(co_burst_links(inside)).withColumn("in_co_burst", F.lit(True))
     rows = df.select("review_id", "reviewer_user_id", F.col(place).alias("place"), F.to_date(ts).alias("day")).join(days, ["place", "day"], "left").join(flagged, "reviewer_user_id", "left")
     return rows.select("review_id", F.col("burst_id").isNotNull().alias("in_burst"), F.coalesce("burst_suspicion_score", F.lit(0.0)).alias("burst_suspicion_score"), F.coalesce("homogeneity", F.lit(0.0)).alias("burst_attr_homogeneity"), holds(F.col("in_co_burst")).alias("in_co_burst"))

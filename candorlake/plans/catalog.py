@@ -320,17 +320,21 @@ def reviewer_metrics(spark, d):
     return rounded(network.reviewer_metrics(rows.join(timed, "review_id", "left"), "product_id"))
 
 
-def _network(spark: SparkSession, d: str) -> DataFrame:
-    rows = reviews(spark, d)
-    inside = temporal.in_bursts(rows)
-    timed = temporal.scores(rows, ATTRS).select("review_id", "in_burst")
-    with_flag = rows.join(timed, "review_id", "left")
-    return network.reviewer_scores(network.reviewer_metrics(with_flag, "product_id"), network.co_reviewers(rows, "product_id"), temporal.co_burst_reviewers(temporal.co_burst_links(inside)))
+def _timed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The temporal scores, written, and the reviewers of co-bursts."""
+    inside = written(temporal.in_bursts(rows))
+    return written(temporal.scores(rows, ATTRS, inside=inside)), temporal.co_burst_reviewers(temporal.co_burst_links(inside))
+
+
+def _network(rows: DataFrame, timed: DataFrame, co_burst: DataFrame) -> DataFrame:
+    with_flag = rows.join(timed.select("review_id", "in_burst"), "review_id", "left")
+    return network.reviewer_scores(network.reviewer_metrics(with_flag, "product_id"), network.co_reviewers(rows, "product_id"), co_burst)
 
 
 @query(f"WITH {_NETWORK_SQL} SELECT reviewer_user_id, degree, co_reviewer_count, round(s_degree_homogeneity, 6) AS s_degree_homogeneity, CAST(round(network_score, 6) AS DOUBLE) AS network_score FROM net")
 def network_score(spark, d):
-    return rounded(_network(spark, d).select("reviewer_user_id", "degree", "co_reviewer_count", "s_degree_homogeneity", "network_score"))
+    rows = written(reviews(spark, d))
+    return rounded(_network(rows, *_timed(rows)).select("reviewer_user_id", "degree", "co_reviewer_count", "s_degree_homogeneity", "network_score"))
 
 
 _DEGREE_SQL = "deg AS (SELECT node, count(*) AS degree FROM (SELECT concat('r_', reviewer_user_id) AS node FROM r UNION ALL SELECT concat('p_', place_id) FROM r) GROUP BY ALL)"
@@ -423,9 +427,9 @@ def attr_jaccard(spark, d):
 
 # ---- score and reports -------------------------------------------------------------------------------------
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = _derived(spark, d)
-    timed = written(temporal.scores(rows, ATTRS))
-    by_reviewer = _network(spark, d).select("reviewer_user_id", "network_score")
+    rows = written(_derived(spark, d))
+    timed, co_burst = _timed(rows)
+    by_reviewer = _network(rows, timed, co_burst).select("reviewer_user_id", "network_score")
     net = rows.select("review_id", "reviewer_user_id").join(by_reviewer, "reviewer_user_id").select("review_id", "network_score")
     out = scoring.combined(rows, [heuristic.scores(rows), timed, net])
     return written(out.withColumn("suspicion_score", scoring.suspicion(out.columns)))
