@@ -85,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_network_language": op10_byte_network_language,
 }
 ORACLES: dict[str, str] = {
+    "op7_divergence_rules": oracles.QUALITY_RULES,
     "op9_coordinate_join": oracles.NEAR_DUPLICATES,
 }
