@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from candorlake.llm.common import id_and_text
+from candorlake.llm.common import id_and_text, lean
 from candorlake.llm.packing import Piece
 from candorlake.llm.tokens import END_OF_DOCUMENT, default_tokenizer, encoded_documents
 
@@ -123,6 +123,7 @@ def pack_matrices(docs: DataFrame, tokenizer_path: str | None = None, capacity:
         raise ValueError("capacity must be from 1 to 65,536")
     path = tokenizer_path or default_tokenizer()
 
+    @lean("tokens")
     def pack_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         ramp = np.arange(capacity, dtype="<u2").tobytes()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +37,44 @@ def rows_of(batch: pa.RecordBatch, binary: bool = True) -> Iterator[tuple[list,
         yield ids.slice(at, SLICE_ROWS).to_pylist(), texts.slice(at, SLICE_ROWS).to_pylist()
 
 
+#: What Python workers keep between tasks: by owner, how to let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Registers a memo that may outlive a task; a task of another owner clears it first."""
+    _KEPT[owner] = clear
+
+
+def _let_go() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: memory stays with the worker
+        pass
+
+
+def lean(owner: str):
+    """Makes a function over Arrow batches start without the memos of other owners, and hand free memory back
+    to the machine when it ends: idle workers share it with the JVM."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(batches):
+            for name, clear in _KEPT.items():
+                if name != owner:
+                    clear()
+            try:
+                yield from f(batches)
+            finally:
+                _let_go()
+
+        return run
+
+    return wrap
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all machines share (spark.checkpoint.dir).
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from candorlake.llm.common import discard, stored
 
+#: Edges that a task writes at most, about; small rounds don't pay for many tasks and files.
+EDGES_A_TASK = 1_000_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v) with u > v."""
@@ -43,5 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
         then = now
-        now = stored(_star(_star(now, large=True), large=False))
+        tasks = 1 + state[0] // EDGES_A_TASK  # rounds never have more edges than the one before
+        now = stored(_star(_star(now, large=True), large=False).coalesce(tasks))
         discard(then)

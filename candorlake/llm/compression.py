@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import bucket, id_and_text, lowest_hashes, rows_of
+from candorlake.llm.common import bucket, id_and_text, lean, lowest_hashes, rows_of
 
 PER_CLASS = 1200
 PIECES, PIECE = 3, 2000
@@ -132,6 +132,7 @@ def train(rows: list[tuple[int, int, list[str]]], share: float | None = None) ->
 
 
 def _scorer(shared):
+    @lean("compression")
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         pair = (_Compressor(model.good), _Compressor(model.bad)) if model.good else None

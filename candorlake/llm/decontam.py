@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import id_and_text, rows_of, stored
+from candorlake.llm.common import id_and_text, lean, rows_of, stored
 
 K1, B = 1.2, 0.75
 STEP, BLOCK = 64, 4
@@ -267,6 +267,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item_chars: int = ITEM_
 
 
 def _finder(shared):
+    @lean("decontam")
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:

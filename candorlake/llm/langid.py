@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candorlake.llm.bytenet import Network, Scorer, fit
-from candorlake.llm.common import bucket, id_and_text, lowest_hashes, rows_of
+from candorlake.llm.common import bucket, id_and_text, lean, lowest_hashes, rows_of
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -76,6 +76,7 @@ def training_windows(docs: DataFrame, learn: Column, per_language: int = DOCS_PE
 
 
 def _predictor(net: Identifier | None):
+    @lean("langid")
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = net and Scorer(net.network)
         for batch in batches:

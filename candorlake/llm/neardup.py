@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import id_and_text, rows_of, stored
+from candorlake.llm.common import id_and_text, lean, rows_of, stored
 from candorlake.llm.components import components
 from candorlake.llm.shingles import shingle_sets, signatures
 
@@ -56,6 +56,7 @@ def least_matches(percent: int, size: int = COORDINATES) -> int:
     return max(1, math.floor(size * p - MARGIN * math.sqrt(size * p * (1 - p))))
 
 
+@lean("profiles")
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, texts in rows_of(batch):
@@ -68,6 +69,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@lean("profiles")
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text, set_key) -> (node, set): leaves out rows whose set isn't the node's."""
     for batch in batches:
@@ -102,6 +104,7 @@ def _linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray
 
 
 def _confirmer(percent: int):
+    @lean("neardup")
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3)]
@@ -179,6 +182,7 @@ def _matcher(matches: int, percent: int):
             return []
         return list(_block_links(token, left, right, [r[2:] for r in rows], matches, percent))
 
+    @lean("neardup")
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, found = None, [], []
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from candorlake.llm.common import id_and_text
+from candorlake.llm.common import id_and_text, lean
 from candorlake.llm.tokens import END_OF_DOCUMENT, default_tokenizer, encoded_documents
 
 CAPACITY = 4096
@@ -110,6 +110,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """
     path = tokenizer_path or default_tokenizer()
 
+    @lean("tokens")
     def pack_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []

@@ -12,9 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
+from candorlake.llm.common import keeps
+
 WIDTH = 5
 #: Words that a worker remembers the hash of.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 _ODD = np.array([int(xxhash.xxh64_intdigest(f"place {i}")) | 1 for i in range(WIDTH + 1)], dtype=np.uint64)
 
 
@@ -27,6 +29,9 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+keeps("shingles", _words.clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit (the finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import id_and_text, rows_of
+from candorlake.llm.common import id_and_text, lean, rows_of
 
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean, probability: double>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("probability", pa.float64())]))
@@ -32,6 +32,7 @@ Finder = Callable[[list[str]], list[list[Span]]]
 def find_spans(docs: DataFrame, make: Callable[[], Finder]) -> DataFrame:
     """(doc_id, spans) for each row; make: builds the finder once a task."""
 
+    @lean("spans")
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = make()
         for batch in batches:
@@ -51,6 +52,7 @@ def redact(docs: DataFrame, make: Callable[[], Finder], mask: str = "[{}]") -> D
     names = docs.columns
     place = names.index("text")
 
+    @lean("spans")
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = make()
         for batch in batches:
