@@ -76,3 +76,19 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
+
+
+def age_days(ts: Column, now: Column) -> Column:
+    """Days between two times, with fractions."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 86_400e6
+
+
+def number_label(x: Column) -> Column:
+    """A number as short text: whole ones without a decimal point."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def find_column(names: Sequence[str], candidates: Sequence[str] = (), containing: str | None = None) -> str | None:
+    """The first candidate that is there, else the first name that contains a text."""
+    found = next((c for c in candidates if c in names), None)
+    return found or next((n for n in names if containing and containing in n), None)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candorlake.functions.exprs import cosine, row_mean, row_std, shortened
+from candorlake.functions.exprs import age_days, cosine, number_label, row_mean, row_std, shortened
 from candorlake.operators import cluster, graph, heuristic, marts, network, prepare, quality, reports, sampling, scoring, semantic, temporal
 from candorlake.plans import reviews as plan
 from candorlake.schema import SUB_RATINGS
@@ -253,6 +253,11 @@ def text_helpers(spark, d):
     return reviews(spark, d).select("review_id", shortened(F.col("place_url"), 34).alias("short_url"), F.concat(F.lit("r_"), "reviewer_user_id").alias("node"))
 
 
+@query("SELECT review_id, round((epoch_us(TIMESTAMP '2000-01-01') - epoch_us(created_at)) / 86400e6, 6) + 0.0 AS age_days, CASE WHEN place_overall_rating = floor(place_overall_rating) THEN CAST(CAST(place_overall_rating AS BIGINT) AS VARCHAR) ELSE CAST(place_overall_rating AS VARCHAR) END AS rating_label FROM r")
+def review_age(spark, d):
+    return rounded(reviews(spark, d).select("review_id", age_days(F.col("created_at"), F.lit("2000-01-01 00:00:00").cast("timestamp")).alias("age_days"), number_label(F.col("place_overall_rating")).alias("rating_label")))
+
+
 # ---- data checks -----------------------------------------------------------------------------------------
 _COLUMNS = ("review_id", "reviewer_user_id", "place_url", "rating_stars", "edited_at", "sub_rating_food", "sub_rating_service", "sub_rating_atmosphere", "reviewer_level", "attr_meal_type", "attr_price_range")
 

@@ -166,3 +166,9 @@ def test_marts_views(spark):
 def test_histogram_edges(spark):
     got = {r.bin: r.n for r in reports.histogram(spark.createDataFrame([(0.0,), (0.019,), (0.02,), (1.0,)], "s double"), "s").collect()}
     assert got == {0: 2, 1: 1, 49: 1}
+
+
+def test_find_column():
+    from candorlake.functions.exprs import find_column
+
+    assert find_column(["a", "place_x"], ["b", "a"]) == "a" and find_column(["a", "place_x"], ["b"], "place") == "place_x" and find_column(["a"]) is None
