@@ -565,11 +565,12 @@ def events_daily_stream(spark, d):
     """The streaming count, run to its end over the files that are there."""
     from candorlake.streaming.daily import daily_counts, event_stream
 
-    name = "daily_" + str(abs(hash(d)) % 10**9)
+    kept = written(spark.createDataFrame([], "user_id long, day date, n long"))
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
     counted = daily_counts(event_stream(spark, d), "user_id")
-    q = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q = counted.writeStream.outputMode("complete").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(kept.schema).parquet(path)
 
 
 @query("SELECT place_id, round(avg(rating_stars), 6) AS avg_score, count(*) AS reviews, CAST(sum(CASE WHEN rating_stars >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS high FROM r GROUP BY place_id ORDER BY avg(rating_stars) DESC, place_id LIMIT 10")

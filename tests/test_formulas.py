@@ -172,3 +172,15 @@ def test_find_column():
     from candorlake.functions.exprs import find_column
 
     assert find_column(["a", "place_x"], ["b", "a"]) == "a" and find_column(["a", "place_x"], ["b"], "place") == "place_x" and find_column(["a"]) is None
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    for values in ([r.choice([r.random(), 0.5, 0.25]) for _ in range(700)], [3.0], [2.0, 2.0], [-1e6, 0.0, 1e6]):
+        got = one(scoring.exact_quantiles(spark.createDataFrame([(v,) for v in [*values, None]], "s double"), "s", [0.0, 0.05, 0.5, 0.9, 1.0]))
+        assert list(got) == pytest.approx(np.quantile(values, [0.0, 0.05, 0.5, 0.9, 1.0]).tolist())
+    assert list(one(scoring.exact_quantiles(spark.createDataFrame([], "s double"), "s", [0.5]))) == [None]
