@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 from candorlake.operators.graph import components
 from candorlake.session import written
 
+BLOCK = 512
+
 
 def projected(vectors: DataFrame, id_column: str, dims: int = 2) -> DataFrame:
     """(id, x0, x1): principal components; a linear stand-in for a neighbour-preserving projection."""
@@ -21,23 +27,54 @@ def projected(vectors: DataFrame, id_column: str, dims: int = 2) -> DataFrame:
     return model.transform(rows).select(id_column, *[point[i].alias(f"x{i}") for i in range(dims)])
 
 
+def _near_blocks(eps: float):
+    """(a, b, x, y): representatives of two cells and blocks of their points -> pairs with points within eps."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.x, batch.y):
+                p, q = np.array([list(v) for v in x]), np.array([list(v) for v in y])
+                good.append(bool((((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) <= eps * eps).any()))
+            yield batch.loc[good, ["a", "b"]]
+
+    return check
+
+
 def dbscan(points: DataFrame, id_column: str, eps: float = 0.5, least: int = 5, dims: int = 2) -> DataFrame:
     """(id, cluster): the smallest id of the cluster's core points, -1 for noise.
 
-    Points are compared with those of their own and neighbouring grid cells of width eps only. A border point
-    joins the cluster of its smallest core neighbour. Ids must be numbers from 0 on.
+    The grid's cells are so small that all points of one are within eps of each other. A cell with ``least``
+    points is core as a whole, without a look at pairs; only points of emptier cells are joined with
+    the points around them, so a heap of points costs its number times a constant. Core points of a cell belong
+    together; two cells do if blocks of BLOCK of their core points hold a pair within eps, which tasks
+    compare as matrices. A border point joins the cluster of its smallest core neighbour. Ids must be numbers
+    from 0 on.
     """
-    axes = [f"x{i}" for i in range(dims)]
-    cells = points.select(F.col(id_column).alias("id"), *axes, *[F.floor(F.col(x) / eps).alias(f"c{i}") for i, x in enumerate(axes)])
-    steps = F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(move)]) for move in product((-1, 0, 1), repeat=dims)])
-    around = cells.withColumn("step", F.explode(steps)).select("id", *axes, *[(F.col(f"c{i}") + F.col(f"step.s{i}")).alias(f"c{i}") for i in range(dims)])
-    other = cells.select(F.col("id").alias("other"), *[F.col(x).alias(f"o{x}") for x in axes], *[f"c{i}" for i in range(dims)])
+    axes, cell = [f"x{i}" for i in range(dims)], [f"c{i}" for i in range(dims)]
+    width, reach = eps / math.sqrt(dims), math.ceil(math.sqrt(dims))
+    rows = points.select(F.col(id_column).alias("id"), *axes, *[F.floor(F.col(x) / width).alias(c) for x, c in zip(axes, cell)])
+    crowded = rows.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*cell)
+    rows = written(rows.join(crowded.withColumn("crowded", F.lit(True)), cell, "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    moves = F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(move)]) for move in product(range(-reach, reach + 1), repeat=dims)])
+    around = lambda df: df.withColumn("move", F.explode(moves)).withColumns({c: F.col(c) + F.col(f"move.s{i}") for i, c in enumerate(cell)}).drop("move")
+    other = rows.select(F.col("id").alias("other"), *[F.col(x).alias(f"o{x}") for x in axes], *cell)
     distance = sum(((F.col(x) - F.col(f"o{x}")) * (F.col(x) - F.col(f"o{x}")) for x in axes), F.lit(0.0))
-    near = written(around.join(other, [f"c{i}" for i in range(dims)]).filter(distance <= eps * eps).select("id", "other"))
-    core = written(near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id"))
-    core_near = near.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "other"), "other", "left_semi")
-    roots = components(core_near.select(F.col("id").alias("src"), F.col("other").alias("dst")))
-    border = near.join(core, "id", "left_anti").join(core.withColumnRenamed("id", "other"), "other", "left_semi").groupBy("id").agg(F.min("other").alias("via"))
-    of_border = border.join(roots, F.col("via") == F.col("node")).select("id", "component")
-    found = roots.select(F.col("node").alias("id"), "component").unionByName(of_border)
+    near = written(around(rows.filter("NOT crowded")).join(other, cell).filter(distance <= eps * eps).select("id", "other"))
+    core = near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id").unionByName(rows.filter("crowded").select("id"))
+    core = written(rows.join(core, "id", "left_semi").select("id", *axes, *cell))
+
+    cells = core.groupBy(*cell).agg(F.min("id").alias("least_id"), F.count("*").alias("n"))
+    packed = core.join(cells, cell).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    packed = written(packed.groupBy(*cell, "least_id", "block").agg(F.collect_list(F.array(*axes)).alias("items")).drop("block"))
+    a = around(packed.select(F.col("least_id").alias("a"), F.col("items").alias("x"), *cell))
+    b = packed.select(F.col("least_id").alias("b"), F.col("items").alias("y"), *cell)
+    kind = core.schema["id"].dataType.simpleString()
+    linked = a.join(b, cell).filter("a < b").select("a", "b", "x", "y").mapInPandas(_near_blocks(eps), f"a {kind}, b {kind}")
+    roots = components(linked.unionByName(cells.select(F.col("least_id").alias("a"), F.col("least_id").alias("b"))).toDF("src", "dst"))
+
+    of_core = core.join(cells.select(*cell, F.col("least_id").alias("node")), cell).join(roots, "node").select("id", "component")
+    border = near.join(core.select("id"), "id", "left_anti").join(core.select(F.col("id").alias("other")), "other", "left_semi").groupBy("id").agg(F.min("other").alias("via"))
+    of_border = border.join(of_core.select(F.col("id").alias("via"), "component"), "via").select("id", "component")
+    found = of_core.unionByName(of_border)
     return points.select(F.col(id_column).alias("id")).join(found, "id", "left").select(F.col("id").alias(id_column), F.coalesce("component", F.lit(-1)).alias("cluster"))

@@ -103,23 +103,23 @@ def burst_windows(spark, d):
 @query(f"WITH {_burst_sql('r')}, {_QUALITY_SQL} SELECT place, burst_id, first_day, last_day, burst_reviews, round(burst_five, 6) AS burst_five, round(burst_no_text, 6) AS burst_no_text, round(usual_five, 6) AS usual_five, round(usual_no_text, 6) AS usual_no_text, round(burst_score, 6) AS burst_score FROM judged")
 def burst_quality(spark, d):
     rows = reviews(spark, d)
-    return rounded(temporal.burst_quality(rows, temporal.in_bursts(rows)))
+    return rounded(temporal.burst_quality(rows, written(temporal.in_bursts(rows))))
 
 
 @query(f"WITH {_burst_sql('r')}, {_QUALITY_SQL} SELECT place, burst_id, round(homogeneity, 6) AS homogeneity, round(burst_suspicion_score, 6) AS burst_suspicion_score FROM adjusted")
 def burst_attr_homogeneity(spark, d):
     rows = reviews(spark, d)
-    return rounded(temporal.adjusted_windows(rows, temporal.in_bursts(rows), ATTRS).select("place", "burst_id", "homogeneity", "burst_suspicion_score"))
+    return rounded(temporal.adjusted_windows(rows, written(temporal.in_bursts(rows)), ATTRS).select("place", "burst_id", "homogeneity", "burst_suspicion_score"))
 
 
 @query(f"WITH {_burst_sql('e')}, {_LINKS_SQL} SELECT * FROM pairs")
 def co_burst_pairs(spark, d):
-    return temporal.co_burst_pairs(temporal.co_burst_links(temporal.in_bursts(event_reviews(spark, d))))
+    return temporal.co_burst_pairs(temporal.co_burst_links(written(temporal.in_bursts(event_reviews(spark, d)))))
 
 
 @query(f"WITH {_burst_sql('e')}, {_LINKS_SQL} SELECT * FROM co")
 def co_burst_reviewers(spark, d):
-    return temporal.co_burst_reviewers(temporal.co_burst_links(temporal.in_bursts(event_reviews(spark, d))))
+    return temporal.co_burst_reviewers(temporal.co_burst_links(written(temporal.in_bursts(event_reviews(spark, d)))))
 
 
 _TEMPORAL_SQL = f"""{_burst_sql('r')}, {_QUALITY_SQL}, {_LINKS_SQL},

@@ -41,3 +41,30 @@ def test_dbscan_of_two_heaps(spark):
     rows = [(i, (i % 5) * 0.1, 0.0) for i in range(5)] + [(10 + i, 5 + i * 0.1, 5.0) for i in range(6)] + [(99, 50.0, 50.0)]
     found = {r.id: r.cluster for r in dbscan(spark.createDataFrame(rows, "id long, x0 double, x1 double"), "id").collect()}
     assert {found[i] for i in range(5)} == {0} and {found[10 + i] for i in range(6)} == {10} and found[99] == -1
+
+
+def test_dbscan_against_brute_force(spark, monkeypatch):
+    import random
+
+    from candorlake.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    r = random.Random(3)
+    points = [(i, *(c + r.gauss(0, 0.35) for c in r.choice([(0, 0), (2, 1), (2.8, 1.2), (9, 9)]))) if r.random() < 0.9 else (i, r.uniform(-3, 12), r.uniform(-3, 12)) for i in range(300)]
+    eps, least = 0.4, 5
+    near = {i: [j for j, *q in points if sum((a - b) ** 2 for a, b in zip(p, q)) <= eps * eps] for i, *p in points}
+    core = {i for i in near if len(near[i]) >= least}
+    want = dict.fromkeys(near, -1)
+    for i in sorted(core):
+        if want[i] == -1:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if want[j] == -1:
+                    want[j] = i
+                    todo += [k for k in near[j] if k in core]
+    for i in near:
+        if i not in core and (via := [j for j in near[i] if j in core]):
+            want[i] = want[min(via)]
+    got = {x.id: x.cluster for x in cluster.dbscan(spark.createDataFrame(points, "id long, x0 double, x1 double"), "id", eps, least).collect()}
+    assert got == want and len(set(want.values())) > 3
