@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import id_and_text, lean, rows_of, stored
+from candorlake.llm.common import discard, id_and_text, lean, rows_of, stored
 from candorlake.llm.components import components
 from candorlake.llm.shingles import shingle_sets, signatures
 
@@ -90,7 +90,9 @@ def _traits(prefix: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     key = wanted.select("node", "set_key", "least_id")
     texts = docs.join(F.broadcast(key) if few else key, F.col("doc_id").eqNullSafe(F.col("least_id")))
     sets = texts.select("node", "text", "set_key").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
-    return stored(wanted.join(sets, "node").select("node", "signature", "prefix", "shingles"))
+    found = stored(wanted.join(sets, "node").select("node", "signature", "prefix", "shingles"))
+    discard(wanted)
+    return found
 
 
 def _linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -263,7 +265,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     prefix = stored(shared.filter((F.col("n") >= matches) & (F.col("rank") <= F.col("n") - matches + 1)).select("token", "node"))
 
     listed = prefix.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    prefix = stored(prefix.join(listed, "token"))
+    every, prefix = prefix, stored(prefix.join(listed, "token"))
+    discard(every)
     traits = _traits(prefix, nodes, docs)
 
     pairs = prefix.select("a", F.col("node").alias("b")).filter("a <> b").distinct()
@@ -271,12 +274,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     both = pairs.join(traits.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(traits.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long")
     roots = stored(components(links))
+    used = [prefix, traits, nodes, roots]
 
     placed, still = _placed(prefix, roots)
     spread = placed.join(still, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     dealt = spread.select("token", (-1 - F.col("block")).alias("x"), F.col("block").alias("y"), F.lit(False).alias("main"), "block", "node", "comp")
     links = _compared(dealt, traits, matches, percent)
     roots = stored(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    used += [links, roots]
 
     placed, still = _placed(prefix, roots)
     dealt = _against_main(placed.join(still.filter(F.col("n") > BLOCK), "token"))
@@ -284,6 +289,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     grouped = stored(nodes.join(roots, "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root")))
+    for table in (*used, links):  # what is returned is made of rows and grouped alone
+        discard(table)
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_set = grouped.join(least, "root").select("set_key", "component_id")
     out = rows.join(of_set, "set_key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
