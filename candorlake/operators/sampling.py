@@ -23,7 +23,7 @@ def stratified(df: DataFrame, stratum: str, key: str, target: int | None = None,
     drawn = F.xxhash64(F.col(key), F.lit(seed))
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size_"))
     quota = F.least(F.col("size_"), F.greatest(F.lit(LEAST_PER_STRATUM), F.bround(F.col("size_") / F.lit(total) * F.lit(target)).cast("long")))
-    rows = df.withColumn("drawn_", drawn).join(F.broadcast(sizes.select(F.col(stratum).alias("stratum_"), quota.alias("quota_"))), F.col(stratum).eqNullSafe(F.col("stratum_")))
+    rows = df.withColumn("drawn_", drawn).join(sizes.select(F.col(stratum).alias("stratum_"), quota.alias("quota_")), F.col(stratum).eqNullSafe(F.col("stratum_")))
     rows = rows.withColumn("share_", F.pmod("drawn_", F.lit(SHARES)))
     for by in ((stratum, "share_"), (stratum,)):  # a large stratum first gives up most of its rows in shares
         rows = rows.withColumn("rank_", F.row_number().over(Window.partitionBy(*by).orderBy("drawn_", key))).filter(F.col("rank_") <= F.col("quota_"))
