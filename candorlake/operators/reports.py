@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candorlake.functions.quantiles import exact_quantiles, quantiles_by
+
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
@@ -21,9 +23,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50, low: float = 0.0, high
 
 
 def box_plot(df: DataFrame, by: str, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = df.filter(F.col(by).isNotNull() & F.col(column).isNotNull()).groupBy(by).agg(F.min(column).alias("low"), q.alias("q"), F.max(column).alias("high"), F.count("*").alias("n"))
-    return rows.select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "n")
+    rows = df.filter(F.col(by).isNotNull() & F.col(column).isNotNull())
+    ends = rows.groupBy(by).agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n"))
+    middle = quantiles_by(rows, by, column, (0.25, 0.5, 0.75)).withColumnsRenamed({"p25": "q1", "p50": "median", "p75": "q3"})
+    return ends.join(middle, by).select(by, "low", "q1", "median", "q3", "high", "n")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -34,7 +37,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def statistics(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.stddev_samp(column).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"))
+    one = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"))
+    return one.crossJoin(F.broadcast(exact_quantiles(df, column, [0.5]))).withColumnRenamed("p50", "median")
 
 
 def month_pivot(df: DataFrame, ts: str, flag: str, since: str | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candorlake.functions.exprs import clip01, holds, share
+from candorlake.functions.quantiles import exact_quantiles
 
 #: Weights of the components; they add up to one.
 WEIGHTS = {
@@ -27,8 +28,6 @@ WEIGHTS = {
 HIGH, VERY_HIGH = 0.90, 0.95
 #: Scores are compared with quantiles at this many decimals, so that the last bit doesn't decide.
 DECIMALS = 9
-#: Buckets of a quantile's search.
-BUCKETS = 10_000
 TIERS = ("Low", "Moderate", "Elevated", "Highly Suspicious")
 
 
@@ -45,31 +44,6 @@ def suspicion(columns: Sequence[str]) -> Column:
     return F.round(clip01(total), DECIMALS)
 
 
-def exact_quantiles(df: DataFrame, column: str, levels: Sequence[float]) -> DataFrame:
-    """One row with the exact, interpolated quantile p<percent> of each level; null where there are no values.
-
-    No task holds all values, as the built-in exact percentile would: values are counted by equal buckets
-    between the least and the greatest, the few buckets that hold the ranks in question are found from
-    the BUCKETS running sums, and only their distinct values are sorted.
-    """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    span = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("total"))
-    counted = values.groupBy("v").agg(F.count("*").alias("n")).crossJoin(F.broadcast(span))
-    counted = counted.withColumn("bucket", F.coalesce(F.floor((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * (BUCKETS - 1)), F.lit(0)))
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = counted.groupBy("bucket").agg(F.sum("n").alias("size"), F.first("total").alias("total")).withColumn("end", F.sum("size").over(running))
-    wanted = F.array(*[F.struct(F.lit(i).alias("level"), (F.lit(float(q)) * (F.col("total") - 1)).alias("at")) for i, q in enumerate(levels)])
-    ranks = sums.withColumn("want", F.explode(wanted)).withColumn("rank", F.explode(F.array(F.floor("want.at"), F.ceil("want.at"))))
-    ranks = ranks.filter((F.col("rank") >= F.col("end") - F.col("size")) & (F.col("rank") < F.col("end")))
-    ranks = ranks.select("bucket", (F.col("end") - F.col("size")).alias("before"), F.col("want.level").alias("level"), F.col("want.at").alias("at"), "rank").distinct()
-    inner = Window.partitionBy("bucket", "level", "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    found = counted.select("bucket", "v", "n").join(F.broadcast(ranks), "bucket").withColumn("until", F.col("before") + F.sum("n").over(inner))
-    found = found.filter((F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("n")))
-    ends = found.groupBy("level").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("at").alias("at"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
-    return ends.agg(*[F.max(F.when(F.col("level") == i, value)).alias(f"p{round(100 * q)}") for i, q in enumerate(levels)])
-
-
 def thresholds(scored: DataFrame, levels: Sequence[float] = (HIGH, VERY_HIGH), score: str = "suspicion_score") -> DataFrame:
     """One row with the score's quantiles."""
     return exact_quantiles(scored, score, levels)
