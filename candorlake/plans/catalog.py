@@ -377,6 +377,12 @@ def component_sizes(spark, d):
     return graph.component_sizes(rows)
 
 
+@query()
+def review_component_sizes(spark, d):
+    """Over the whole reviewer-place graph; its closure in recursive SQL grows with the square of a component."""
+    return graph.component_sizes(network.edges(reviews(spark, d)))
+
+
 @query()
 def pagerank(spark, d):
     return rounded(graph.pagerank(network.edges(reviews(spark, d))))
