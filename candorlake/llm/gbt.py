@@ -27,7 +27,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
     for j in range(x.shape[1]):
         values = np.unique(x[:, j])
         edges.append(values[:-1] if len(values) <= bins else np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])))
-    b = _binned(edges, x)
+    b = np.asfortranarray(_binned(edges, x))
     start = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     size = 2 ** (depth + 1) - 1
     feature, cut, value = np.full((trees, size), -1), np.zeros((trees, size), dtype=int), np.zeros((trees, size))
