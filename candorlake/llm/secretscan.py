@@ -9,7 +9,7 @@ checksums and numbers that look alike. Other examples set the limit: the highest
 RECALL of the keys, and no lower than a precise one.
 
 Edge cases: null text counts as empty; an empty text has no spans; all scans are linear in a text's length;
-a candidate longer than the network's row is seen by its two ends; repeated rows and null ids are rows like
+a candidate longer than the network's row is seen in overlapping windows and in its parts, and the likeliest of them counts; repeated rows and null ids are rows like
 others; an empty table gives an empty result; redaction leaves other columns as they are.
 """
 
@@ -39,6 +39,7 @@ _ASSIGN_HINT = re.compile(r"(?ai)passw|secret|token|api_?key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
 _URL = re.compile(r"(?<=://)[^\s:/@]{1,64}:[^\s:/@]{4,128}(?=@)")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -55,12 +56,15 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+def _mixed(own: str) -> bool:
+    return any("0" <= c <= "9" for c in own) and any(c.isalpha() for c in own)
+
+
 def candidates(text: str) -> list[Span]:
     out = []
     if _DIGIT.search(text):
         for m in _RUN.finditer(text):
-            own = m[0]
-            if any("0" <= c <= "9" for c in own) and any(c.isalpha() for c in own):
+            if _mixed(m[0]):
                 out.append(Span("key", *m.span(), False))
     if "://" in text:
         out += [Span("key", *m.span(), False) for m in _URL.finditer(text)]
@@ -76,12 +80,19 @@ def candidates(text: str) -> list[Span]:
     return out
 
 
+def views(text: str, s: Span) -> list[Span]:
+    """What the network sees of a candidate: all of it, or, if it is longer than OWN, windows of OWN characters
+    that overlap by half, and its parts between slashes, dots and equals signs."""
+    if s.end - s.start <= OWN:
+        return [s]
+    starts = [*range(s.start, s.end - OWN, OWN // 2), s.end - OWN]
+    parts = [m.span() for m in _PART.finditer(text, s.start, s.end)]
+    return [*[s._replace(start=a, end=a + OWN) for a in starts], *[s._replace(start=a, end=b) for a, b in parts if b - a <= OWN and _mixed(text[a:b])]]
+
+
 def pictured(text: str, s: Span) -> np.ndarray:
-    """ROW bytes: context, the candidate (the middle of a long one left out), context; ASCII or 127, with
-    128 added around the candidate."""
+    """ROW bytes: context, a view of a candidate, context; ASCII or 127, with 128 added around the view."""
     own = text[s.start : s.end]
-    if len(own) > OWN:
-        own = own[: OWN // 2] + own[-OWN // 2 :]
     left, right = text[max(0, s.start - CONTEXT) : s.start], text[s.end : s.end + CONTEXT]
     row = np.full(ROW, 128 + 32, dtype=np.uint8)
     for at, piece, add in ((CONTEXT - len(left), left, 128), (CONTEXT, own, 0), (CONTEXT + OWN, right, 128)):
@@ -126,18 +137,32 @@ _BEFORE_KEY = ("key ", "key=", "auth: ", "Authorization: Bearer ", "credential "
 _BEFORE_OTHER = ("see ", "file ", "at ", "http://", "path=", "version ", "in ", "from ", "import ", "open ", "", "", "", "model ")
 
 
+def _path(r: random.Random, own: str) -> str:
+    """A long path or chain with a key or a look-alike somewhere in it."""
+    steps = [r.choice([lambda: r.choice(_PARTS), lambda: r.choice(_PARTS), lambda: f"{r.choice(_PARTS)}{r.randint(1, 99)}", lambda: str(r.randint(1, 2030)), lambda: f"{r.choice(_PARTS)}-{r.choice(_PARTS)}", lambda: f"{r.choice(_PARTS)}={r.choice(_PARTS)}"])() for _ in range(r.randint(5, 18))]
+    steps.insert(r.randint(0, len(steps)), r.choice(["", "", f"{r.choice(_PARTS)}="]) + own)
+    return r.choice(["//", "/", ""]) + r.choice(["/", "/", "/", "."]).join(steps) + r.choice(["", "", ".html", ".json"])
+
+
 def examples(count: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, Span, int]]:
-    """(text, candidate, 1 if it is a key)."""
+    """(text, view of a candidate, 1 if a key is in it); views with a small piece of a key are left out."""
     r = random.Random(seed)
     out = []
     for _ in range(count):
         secret = r.random() < 0.5
         own = _key(r) if secret else _lookalike(r)
+        whole = _path(r, own) if r.random() < 0.3 else own
         words = [r.choice(_FILL) for _ in range(r.randint(2, 12))]
         at = r.randint(0, len(words))
         before = r.choice(_BEFORE_KEY if secret else _BEFORE_OTHER)
-        text = " ".join(words[:at]) + " " + before + own + r.choice(["", ".", "\"", "'", ",", "\n"]) + " " + " ".join(words[at:])
-        out += [(text, c, int(secret)) for c in candidates(text) if own in text[c.start : c.end] or text[c.start : c.end] in own]
+        text = " ".join(words[:at]) + " " + before + whole + r.choice(["", ".", "\"", "'", ",", "\n"]) + " " + " ".join(words[at:])
+        start = text.index(own, text.index(whole) + whole.index(own))
+        for c in candidates(text):
+            if own in text[c.start : c.end] or text[c.start : c.end] in own:
+                for v in views(text, c):
+                    common = min(v.end, start + len(own)) - max(v.start, start)
+                    if not secret or common < 4 or common >= LEAST:
+                        out.append((text, v, int(secret and common >= LEAST)))
     return out
 
 
@@ -150,10 +175,16 @@ class Model(NamedTuple):
 def trained() -> Model:
     made = examples()
     x, y = np.array([pictured(t, c) for t, c, _ in made]), np.array([v for *_, v in made])
-    fit = np.arange(len(y)) % 3 != 0
+    texts = {t: i for i, t in enumerate(dict.fromkeys(t for t, *_ in made))}
+    of = np.array([texts[t] for t, *_ in made])
+    fit = of % 3 != 0
     own = x[fit]
     network = bytenet.fit(lambda rows, rng: own[rows], y[fit], 2, WIDTHS, FILTERS, EPOCHS)
-    p, t = bytenet.Scorer(network).probabilities(x[~fit])[:, 1], y[~fit]
+    # The limit is set on whole candidates: the likeliest view of each.
+    p, t = np.zeros(len(texts)), np.zeros(len(texts), dtype=int)
+    np.maximum.at(p, of[~fit], bytenet.Scorer(network).probabilities(x[~fit])[:, 1])
+    np.maximum.at(t, of[~fit], y[~fit])
+    p, t = p[::3], t[::3]
     recalled = float(np.quantile(p[t == 1], 1 - RECALL))
     order = np.argsort(-p, kind="stable")
     precise = np.flatnonzero(np.cumsum(t[order]) / np.arange(1, len(order) + 1) >= PRECISION)
@@ -167,12 +198,15 @@ def finder(model: Model) -> Finder:
         fixed = [base_spans(t) for t in texts]
         proposed = [candidates(t) for t in texts]
         rows = [(i, c) for i, own in enumerate(proposed) for c in own]
+        seen = [(k, v) for k, (i, c) in enumerate(rows) for v in views(texts[i], c)]
+        best = np.zeros(len(rows))
+        for at in range(0, len(seen), 512):
+            part = seen[at : at + 512]
+            np.maximum.at(best, [k for k, _ in part], scorer.probabilities(np.array([pictured(texts[rows[k][0]], v) for k, v in part]))[:, 1])
         good: list[list[Span]] = [[] for _ in texts]
-        for at in range(0, len(rows), 512):
-            part = rows[at : at + 512]
-            for (i, c), p in zip(part, scorer.probabilities(np.array([pictured(texts[i], c) for i, c in part]))[:, 1]):
-                if p >= model.limit:
-                    good[i].append(c._replace(probability=float(p)))
+        for (i, c), p in zip(rows, best):
+            if p >= model.limit:
+                good[i].append(c._replace(probability=float(p)))
         return [f if not g else sorted([*f, *disjoint(f, g)], key=lambda s: (s.start, KINDS.index(s.kind))) for f, g in zip(fixed, good)]
 
     return find
