@@ -5,8 +5,9 @@ with letters and digits in it is a candidate, as are passwords in addresses and
 network sees the candidate and CONTEXT characters before and after it, with the candidate's
 characters set apart from those around it. It is trained on labelled findings that ``examples`` makes (no
 table holds any): keys of many makes as code, logs and prose hold them, and names, paths, hosts, versions,
-checksums and numbers that look alike. Other examples set the limit: the highest score that still finds
-RECALL of the keys, and no lower than a precise one.
+checksums and numbers that look alike. Other examples calibrate the scores and set the limit: the lowest score
+at which PRECISION of what is selected is right and a key is at least as likely as not, and none that finds less
+than RECALL of the keys.
 
 Edge cases: null text counts as empty; an empty text has no spans; all scans are linear in a text's length;
 a candidate longer than the network's row is seen in overlapping windows and in its parts, and the likeliest of them counts; repeated rows and null ids are rows like
@@ -137,6 +138,19 @@ _BEFORE_KEY = ("key ", "key=", "auth: ", "Authorization: Bearer ", "credential "
 _BEFORE_OTHER = ("see ", "file ", "at ", "http://", "path=", "version ", "in ", "from ", "import ", "open ", "", "", "", "model ")
 
 
+def _block(r: random.Random) -> str:
+    some = lambda n: "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+    kind = r.choice(["RSA ", "EC ", "OPENSSH ", ""])
+    return "\n".join([f"-----BEGIN {kind}PRIVATE KEY-----", *[some(64) for _ in range(r.randint(1, 4))], some(r.randint(8, 60)) + "==", f"-----END {kind}PRIVATE KEY-----"])
+
+
+def _login(r: random.Random, secret: bool) -> str:
+    """User and password as in an address, or what stands for them in instructions."""
+    some = lambda n: "".join(r.choice(string.ascii_letters + string.digits + "!$%_-") for _ in range(n))
+    user = r.choice(["admin", "root", "app", "postgres", *_PARTS])
+    return f"{user}:{some(r.randint(8, 24)) if secret else r.choice(['password', 'PASSWORD', 'pass', '<password>', '$PASSWORD', '{password}', '****', 'yourpassword', 'changeme'])}"
+
+
 def _path(r: random.Random, own: str) -> str:
     """A long path or chain with a key or a look-alike somewhere in it."""
     steps = [r.choice([lambda: r.choice(_PARTS), lambda: r.choice(_PARTS), lambda: f"{r.choice(_PARTS)}{r.randint(1, 99)}", lambda: str(r.randint(1, 2030)), lambda: f"{r.choice(_PARTS)}-{r.choice(_PARTS)}", lambda: f"{r.choice(_PARTS)}={r.choice(_PARTS)}"])() for _ in range(r.randint(5, 18))]
@@ -151,24 +165,33 @@ def examples(count: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, Span, i
     for _ in range(count):
         secret = r.random() < 0.5
         own = _key(r) if secret else _lookalike(r)
-        whole = _path(r, own) if r.random() < 0.3 else own
+        shape = r.random()
+        if shape < 0.05:
+            own = _login(r, secret)
+        elif shape < 0.1 and secret:
+            own = _block(r)
+        whole = f"{r.choice(['https', 'postgres', 'ftp', 'mysql'])}://{own}@{r.choice(_PARTS)}.example.com/{r.choice(_PARTS)}" if shape < 0.05 else _path(r, own) if shape >= 0.7 else own
         words = [r.choice(_FILL) for _ in range(r.randint(2, 12))]
         at = r.randint(0, len(words))
         before = r.choice(_BEFORE_KEY if secret else _BEFORE_OTHER)
         text = " ".join(words[:at]) + " " + before + whole + r.choice(["", ".", "\"", "'", ",", "\n"]) + " " + " ".join(words[at:])
+        least = min(LEAST, len(own))
         start = text.index(own, text.index(whole) + whole.index(own))
         for c in candidates(text):
             if own in text[c.start : c.end] or text[c.start : c.end] in own:
                 for v in views(text, c):
                     common = min(v.end, start + len(own)) - max(v.start, start)
-                    if not secret or common < 4 or common >= LEAST:
-                        out.append((text, v, int(secret and common >= LEAST)))
+                    if not secret or common < 4 or common >= least:
+                        out.append((text, v, int(secret and common >= least)))
     return out
 
 
 class Model(NamedTuple):
     network: bytenet.Network
+    #: The least score of a secret; scores' log-odds to probability: slope and offset.
     limit: float
+    slope: float
+    offset: float
 
 
 @lru_cache(maxsize=1)
@@ -188,7 +211,27 @@ def trained() -> Model:
     recalled = float(np.quantile(p[t == 1], 1 - RECALL))
     order = np.argsort(-p, kind="stable")
     precise = np.flatnonzero(np.cumsum(t[order]) / np.arange(1, len(order) + 1) >= PRECISION)
-    return Model(network, max(recalled, float(p[order[precise[-1]]]) if len(precise) else 1.0))
+    slope, offset = _platt(_log_odds(p), t)
+    even = float(1 / (1 + np.exp(offset / slope)))  # the score of an even chance
+    limit = min(recalled, max(even, float(p[order[precise[-1]]]))) if len(precise) else recalled
+    return Model(network, limit, slope, offset)
+
+
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
+def _platt(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the curve from log-odds to probability, by Newton's steps."""
+    slope, offset = 0.5, 0.0
+    t = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))  # Platt's targets: clean examples don't drive the slope up
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -40, 40)))
+        w = np.maximum(p * (1 - p), 1e-6)
+        h = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + 1e-6 * np.eye(2)
+        slope, offset = np.array([slope, offset]) + np.linalg.solve(h, np.array([((t - p) * z).sum(), (t - p).sum()]))
+    return float(slope), float(offset)
 
 
 def finder(model: Model) -> Finder:
@@ -204,8 +247,9 @@ def finder(model: Model) -> Finder:
             part = seen[at : at + 512]
             np.maximum.at(best, [k for k, _ in part], scorer.probabilities(np.array([pictured(texts[rows[k][0]], v) for k, v in part]))[:, 1])
         good: list[list[Span]] = [[] for _ in texts]
-        for (i, c), p in zip(rows, best):
-            if p >= model.limit:
+        sure = 1 / (1 + np.exp(-np.clip(model.slope * _log_odds(best) + model.offset, -40, 40)))
+        for (i, c), score, p in zip(rows, best, sure):
+            if score >= model.limit:
                 good[i].append(c._replace(probability=float(p)))
         return [f if not g else sorted([*f, *disjoint(f, g)], key=lambda s: (s.start, KINDS.index(s.kind))) for f, g in zip(fixed, good)]
 
