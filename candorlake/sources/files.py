@@ -65,6 +65,24 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Keeps (review_id, embedding) for later runs."""
+    write_table(vectors.select("review_id", "embedding"), path)
+
+
+def _changed(spark: SparkSession, path: str) -> int:
+    """When the newest file of a table was written, as milliseconds; of a single file its own time."""
+    fs, at, _ = _file_system(spark, path)
+    return max((s.getModificationTime() for s in fs.listStatus(at)), default=0)
+
+
+def read_vectors(spark: SparkSession, path: str, reviews: str) -> DataFrame | None:
+    """The kept vectors, or None if there are none or they aren't newer than the table of reviews."""
+    if not exists(spark, f"{path}/_SUCCESS") or exists(spark, reviews) and _changed(spark, path) <= _changed(spark, reviews):
+        return None
+    return spark.read.parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """one_file is for tables of bounded size, such as a top list."""
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
