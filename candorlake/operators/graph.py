@@ -6,31 +6,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorlake.session import written
+from candorlake.session import discard, written
 
 DAMPING = 0.85
+#: Edges that a task writes at most, about; small rounds don't pay for many tasks and files.
+EDGES_A_TASK = 1_000_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that can be reached; large and small stars in turn."""
-    now = written(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges: (u, v) with u > v. A large star ties a node's larger neighbours to the smallest node around it, a
+    small star its smaller ones. A hub's edges meet one row of it, in a join that adaptive execution splits."""
+    if large:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        near = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
+        return near.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of an edge; root is the smallest node of its component.
+
+    edges: two columns of one orderable type, in either order, repeats and loops allowed. A node with loops only
+    is left out, as are nulls. Rounds grow in number with the logarithm of the longest path; each is written, so
+    a lost executor costs one, and the one before is deleted.
+    """
+    a, b = edges.columns
+    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
     before = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            nodes = _both_ways(edges).select("u").distinct()
-            return nodes.join(now.select("u", "v"), "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
-        before = mark
-        around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
-        least = around.select("u", F.least("u", "m").alias("m"))
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).filter("u <> v").distinct()
-        now = written(small)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before, then = state, now
+        tasks = 1 + state[0] // EDGES_A_TASK  # rounds never have more edges than the one before
+        now = written(_star(_star(now, large=True), large=False).coalesce(tasks))
+        discard(then)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of an edge: the smallest node that can be reached."""
+    nodes = _both_ways(edges).select("u").distinct()
+    return nodes.join(rooted(edges.select("src", "dst")).withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("node"), F.coalesce("root", "u").alias("component"))
 
 
 def component_sizes(edges: DataFrame) -> DataFrame:
@@ -43,10 +66,12 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return degrees.crossJoin(F.broadcast(degrees.agg(F.count("*").alias("n")))).select(F.col("u").alias("node"), "degree", (F.col("degree") / F.nullif(F.col("n") - 1, F.lit(0))).alias("centrality"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 40, every: int = 5) -> DataFrame:
-    """(node, rank): undirected, parallel edges add weight, a fixed number of rounds.
+def pagerank(edges: DataFrame, tolerance: float = 1e-6, most: int = 100, every: int = 5) -> DataFrame:
+    """(node, rank): undirected, parallel edges add weight; until a round changes the ranks by less than
+    ``tolerance`` a node in sum, or ``most`` rounds.
 
-    Starts from ranks in proportion to the degree, which a graph of two sides is close to already.
+    Starts from ranks in proportion to the degree, which a graph of two sides is close to already. The change is
+    looked at when a round is written, every few rounds.
     """
     weights = written(_both_ways(edges).groupBy("u", "v").agg(F.count("*").alias("w")))
     out = written(weights.groupBy("u").agg(F.sum("w").alias("out")))
@@ -54,12 +79,21 @@ def pagerank(edges: DataFrame, rounds: int = 40, every: int = 5) -> DataFrame:
     if not whole.n:
         return out.select(F.col("u").alias("node"), F.lit(0.0).alias("rank"))
     rank = out.select("u", (F.col("out") / whole.total).alias("rank"))
-    for i in range(rounds):
+    old = None
+    for i in range(most):
         sent = weights.join(rank.join(out, "u").select("u", (F.col("rank") / F.col("out")).alias("each")), "u")
         got = sent.groupBy(F.col("v").alias("u")).agg(F.sum(F.col("w") * F.col("each")).alias("got"))
-        rank = got.select("u", (F.lit((1 - DAMPING) / whole.n) + DAMPING * F.col("got")).alias("rank"))
+        before, rank = rank, got.select("u", (F.lit((1 - DAMPING) / whole.n) + DAMPING * F.col("got")).alias("rank"))
         if (i + 1) % every == 0:
-            rank = written(rank)
+            rank = written(rank.join(before.withColumnRenamed("rank", "before"), "u"))
+            moved = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+            rank = rank.select("u", "rank")
+            if old is not None:
+                discard(old)
+            old = rank
+            if moved < tolerance * whole.n:
+                break
+    discard(weights, out)
     return rank.select(F.col("u").alias("node"), "rank")
 
 

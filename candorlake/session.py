@@ -1,7 +1,8 @@
-"""Session defaults, and writing of intermediate results."""
+"""Session defaults, and intermediate results in the folder that all machines share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,14 +25,33 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
     return spark
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the folder that all machines share (spark.checkpoint.dir), read back:
-    cuts the lineage of loops and outlives lost executors. A temporary folder where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that all machines share (spark.checkpoint.dir).
+
+    Where that is unset, a temporary folder stands in on a single machine; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="candorlake-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/candorlake-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read back: cuts the lineage of loops and outlives lost
+    executors."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames made by written()."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/candorlake-" in f}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
