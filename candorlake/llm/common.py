@@ -1,18 +1,19 @@
-"""Shared helpers: reading tables, walking Arrow batches, checkpoints, row samples."""
+"""Shared helpers: reading tables, walking Arrow batches, filters by text or key, row samples."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candorlake.session import discard, shared_folder  # noqa: F401
+from candorlake.session import written as stored  # noqa: F401
+
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -75,35 +76,11 @@ def lean(owner: str):
     return wrap
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that all machines share (spark.checkpoint.dir).
-
-    Only where that setting is absent, as in tests on one machine, a temporary folder stands in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="candorlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/candorlake-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written once as Parquet in the shared folder and read back: cuts the lineage and
-    outlives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a frame made by stored()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/candorlake-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def release(spark: SparkSession) -> None:
+    """Lets executors collect garbage, so that their heaps shrink to what is in use. A JVM keeps what it has
+    taken until a full collection; Python workers share the machine with it, and their models need room."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
 
 
 def bucket(doc_id, parts: int):
@@ -125,20 +102,31 @@ def lowest_hashes(rows: DataFrame, key: str, count: int, shares: int = 256) -> D
     return hashed.drop("hash", "share")
 
 
-#: Ids that are broadcast at most, some 16 MB; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys that are broadcast at most, some 16 MB; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
-def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how).select(*docs.columns)
+def by_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join of rows with one column of keys; null is never among them."""
+    few = keys.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if few else keys, keys.columns[0], how)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't among ids (one column of that name); a null id is never among them."""
-    return _by_ids(docs, ids, "left_anti")
+def filtered(docs: DataFrame, owner: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of docs, all columns as they are, for whose text a function over texts says so.
 
-
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ids."""
-    return _by_ids(docs, ids, "left_semi")
+    make: builds the function once a task; it gets up to SLICE_ROWS texts, None for null.
+    """
+    place = docs.columns.index("text")
+
+    @lean(owner)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = make()
+        for batch in batches:
+            texts = batch.column(place)
+            mask: list[bool] = []
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                mask += good(texts.slice(at, SLICE_ROWS).to_pylist())
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -21,7 +21,9 @@ as many parts as that takes, with a pass over the documents for each. Document f
 those of the whole test set, counted by Spark.
 
 Edge cases: null or empty documents and items match nothing; repeated items are reported once per item_id,
-repeated documents once a row; a null doc_id stays null; empty tables give an empty result.
+repeated documents once a row; a null doc_id stays null; ties at the threshold count as hits; a text of any length
+is searched whole, passage by passage; empty tables give an empty result; other columns, of whatever name, are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import id_and_text, lean, rows_of, stored
+from candorlake.llm.common import filtered, id_and_text, lean, rows_of, stored
 
 K1, B = 1.2, 0.75
 STEP, BLOCK = 64, 4
@@ -266,6 +268,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item_chars: int = ITEM_
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """The rows whose text holds no test item, with all their columns; null and empty texts hold none."""
+    for index in build_indexes(benchmark, item_chars):
+        docs = filtered(docs, "decontam", _no_item(docs.sparkSession.sparkContext.broadcast(index)))
+    return docs
+
+
+def _no_item(shared):
+    return lambda: lambda texts: [not own for own in shared.value.contaminated([words_of(t) for t in texts])]
+
+
 def _finder(shared):
     @lean("decontam")
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

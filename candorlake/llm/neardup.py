@@ -26,18 +26,19 @@ empty result; a text of any length is taken whole; other columns of the input ar
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candorlake.llm.common import discard, id_and_text, lean, rows_of, stored
-from candorlake.llm.components import components
+from candorlake.llm.common import by_keys, discard, id_and_text, lean, rows_of, stored
 from candorlake.llm.shingles import shingle_sets, signatures
+from candorlake.operators.graph import rooted
 
 COORDINATES = 64
 #: Standard deviations below its mean down to which a link's number of matching coordinates is sought.
@@ -63,12 +64,18 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(texts)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signed = [None if s is None else s.view(np.int32) for s in signatures(sets, COORDINATES)]
+            rows = [hashlib.md5(b"%s:" % ("-" if i is None else str(i)).encode() + (t or b""), usedforsecurity=False).digest() for i, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "set_key", "signature"],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int32())), pa.array(rows, pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "signature", "row_key"],
             )
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What _profiles calls a row: a digest of its id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text.cast("string"), F.lit(""))).cast("binary")))
+
+
 @lean("profiles")
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text, set_key) -> (node, set): leaves out rows whose set isn't the node's."""
@@ -245,17 +252,14 @@ def _compared(dealt: DataFrame, traits: DataFrame, matches: int, percent: int) -
     return stored(rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_matcher(matches, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
-
-    Rows are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
-    smallest id among all that links reach; kept rows are those whose own id it is.
-    """
+def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_key, signature, row_key) of each row, and (set_key, least_id, root) of each set of
+    shingles, both stored; sets that links reach have one root."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     docs = id_and_text(docs)
     matches = least_matches(percent)
-    rows = stored(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, set_key binary, signature array<int>"))
+    rows = stored(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, set_key binary, signature array<int>, row_key binary"))
     nodes = stored(rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()))
 
     posted = nodes.select("node", F.posexplode("signature").alias("at", "value")).select("node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("token"))
@@ -273,25 +277,59 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = _colliding(pairs, nodes, matches)
     both = pairs.join(traits.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(traits.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long")
-    roots = stored(components(links))
+    roots = stored(rooted(links))
     used = [prefix, traits, nodes, roots]
 
     placed, still = _placed(prefix, roots)
     spread = placed.join(still, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     dealt = spread.select("token", (-1 - F.col("block")).alias("x"), F.col("block").alias("y"), F.lit(False).alias("main"), "block", "node", "comp")
     links = _compared(dealt, traits, matches, percent)
-    roots = stored(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    roots = stored(rooted(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     used += [links, roots]
 
     placed, still = _placed(prefix, roots)
     dealt = _against_main(placed.join(still.filter(F.col("n") > BLOCK), "token"))
     links = _compared(dealt, traits, matches, percent)
-    roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = rooted(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     grouped = stored(nodes.join(roots, "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root")))
-    for table in (*used, links):  # what is returned is made of rows and grouped alone
-        discard(table)
+    discard(*used, links)  # what is returned is made of rows and grouped alone
+    return rows, grouped
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
+
+    Rows are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
+    smallest id among all that links reach; kept rows are those whose own id it is.
+    """
+    rows, grouped = _groups(docs, percent)
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_set = grouped.join(least, "root").select("set_key", "component_id")
     out = rows.join(of_set, "set_key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs but for all except one of each group of near copies, with all their columns.
+
+    The row with the smallest id stays (a null id counts as larger than any), of those that share it the one with
+    the smallest digest of id and text. Rows go by this digest: rows with one id and unlike texts are documents of
+    their own, and so are those without an id. Rows that repeat id and text are one document, of which any one
+    stays. Rows without a word stay.
+    """
+    rows, grouped = _groups(docs, percent)
+    placed = rows.filter("n_shingles > 0").join(grouped.select("set_key", "root"), "set_key")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_key").alias("key"))
+    each = stored(placed.groupBy("row_key").agg(F.count("*").alias("n"), F.min("root").alias("root"), F.min(own).alias("row")))
+    first = stored(each.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("row_key")))
+    lost = each.join(first, "row_key", "left_anti").select("row_key")
+    again = each.filter("n > 1").join(first, "row_key", "left_semi").select("row_key")
+    name = "key_of_row"
+    while name in docs.columns:
+        name += "_"
+    other, repeated = (stored(x.withColumnRenamed("row_key", name)) for x in (lost.unionByName(again), again))
+    discard(rows, grouped, each, first)
+    keyed = docs.withColumn(name, row_key(F.col("doc_id"), F.col("text")))
+    one = by_keys(keyed, repeated, "left_semi").dropDuplicates([name])
+    return by_keys(keyed, other, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

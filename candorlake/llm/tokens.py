@@ -24,7 +24,7 @@ from candorlake.llm.common import keeps, lean, rows_of
 #: Entries of each of the memo's two generations (about 200 bytes each), and the longest word that it keeps.
 MEMO_ENTRIES, MEMO_LETTERS = 200_000, 48
 #: Bytes of text that are taken at a time; a longer text is taken alone.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 END_OF_DOCUMENT = 2
 #: Letters that are in normal form and whose lower case is one letter of the same kind; then marks.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,48})([!#$%&*.,:;?|]{0,8})")

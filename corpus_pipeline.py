@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. run() writes each stage's rows to the shared folder and reads them again for the next.
 
-Rows with a null doc_id pass the filters that go by id. Rows that repeat one id are one document to
-them: they stay or go together, but near-duplicate removal keeps one row of them.
+Filters go by each row's own text, never by its id: rows with a null id, or with an id that other rows have
+too, are judged like any others. All stages take an empty table (and return one), texts of any length whole,
+and further columns of any name, which they pass on.
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from candorlake.llm import decontam, langid, neardup, packing, secretscan
-from candorlake.llm.common import stored, table, with_ids, without_ids
+from candorlake.llm.common import discard, release, stored, table
 
 #: Documents whose language is less likely than this are rejected; a guess among four scores 0.25. Short clean
 #: texts of mixed words score about 0.4.
@@ -27,32 +27,43 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no known language."""
-    found = langid.identify(docs)
-    rejected = stored(found.filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)).select("doc_id").distinct())
-    return without_ids(docs, rejected)
+    """Rejects documents without a letter (null, empty and white ones among them) and those of no known language.
+
+    The network learns from the documents that it is given; without any labelled one all are rejected. A text of
+    any length counts as a whole. Of equally likely languages the first by name is taken.
+    """
+    release(spark)
+    return langid.of_known_language(docs, LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    found = stored(neardup.near_duplicates(docs, NEAR_COPY_PERCENT).groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("kept").cast("int")).alias("kept")))
-    rest = without_ids(docs, found.filter("kept = 0 OR (n > 1 AND doc_id IS NOT NULL)").select("doc_id"))
-    repeated = with_ids(docs, found.filter("kept = 1 AND n > 1").select("doc_id")).dropDuplicates(["doc_id"])
-    return rest.unionByName(repeated)
+    """Keeps one document of each group of near copies: the one with the smallest id.
+
+    Documents that are equally similar to several groups join them. Null, empty and white texts are copies of
+    nothing and stay; rows that repeat id and text are one document, rows that share an id only are not.
+    """
+    release(spark)
+    return neardup.without_copies(docs, NEAR_COPY_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    return without_ids(docs, stored(decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
+    """Drops documents that hold a benchmark item; null and empty texts hold none, passages of a long text all
+    count, and a score just at the threshold is a hit."""
+    release(spark)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts by their kind in brackets."""
+    """Replaces secrets in texts by their kind in brackets, whole texts of any length; drops nothing. Null texts
+    stay null; of overlapping secrets the union is replaced once; n_chars follows the text."""
+    release(spark)
     return secretscan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their ids."""
+    """The pieces of the packed sequences, with their ids: every row is a document, null and empty ones of the end
+    id alone; repeated rows are packed as often as they come."""
+    release(spark)
     return packing.pack(docs)
 
 
@@ -67,6 +78,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        done, docs = docs, stored(stage(spark, docs, sf_dir))
+        if number:
+            discard(done)
     return STAGES[-1][1](spark, docs, sf_dir)

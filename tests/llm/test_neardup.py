@@ -5,7 +5,7 @@ import random
 import pytest
 
 from candorlake.llm import neardup, oracles
-from candorlake.llm.components import components
+from candorlake.operators.graph import rooted
 from parity import connect, differences
 
 FOLDER = "/root/testdata/sf0.01"
@@ -81,6 +81,6 @@ def test_least_matches_is_rarely_missed():
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 4999), (4999, 5000), (7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in rooted(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(201)} == {0} and {got[1000 + i] for i in range(300)} == {1000} and got[5000] == 4999
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert rooted(spark.createDataFrame([], "a long, b long")).collect() == []
