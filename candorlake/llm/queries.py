@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candorlake.llm import bfd, compression, decontam, langid, neardup, oracles, packing, pii, rollup, rules, secretscan, spans
-from candorlake.llm.common import shared_folder, stored, table
+from candorlake.llm.common import discard, shared_folder, stored, table
 from candorlake.llm.tokens import token_counts
 
 
@@ -52,16 +52,22 @@ def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents: inserted with their numbers of words, revised to their numbers
-    of token ids (this batch is committed twice, as after a crash), and those without a word deleted."""
-    counts = stored(token_counts(table(spark, sf_dir, "documents"), ("source", "lang"))).withColumn("tokenizer", F.lit("word_bpe_49k"))
+    """Four batches over all documents: inserted with their numbers of words, under two versions of a tokenizer;
+    the later version revised to the numbers of token ids (this batch is committed twice, as after a crash); the
+    documents of the earlier version deleted, but for those whose number of words can be divided by five."""
+    counted = stored(token_counts(table(spark, sf_dir, "documents"), ("source", "lang")))
+    words, tokens = (counted.withColumn("tokenizer", F.lit(v)) for v in ("words", "word_bpe_49k"))
     totals = rollup.TokenRollup(spark, shared_folder(spark))
-    totals.commit("0-insert", rollup.inserts(counts.withColumn("n_tokens", F.col("n_words"))))
+    of_words = lambda df: rollup.inserts(df.withColumn("n_tokens", F.col("n_words")))
+    totals.commit("0-insert", of_words(words), of_words(tokens))
     for _ in range(2):
-        totals.commit("1-revise", rollup.revisions(counts.withColumn("old_tokens", F.col("n_words"))))
+        totals.commit("1-revise", rollup.revisions(tokens.withColumn("old_tokens", F.col("n_words"))))
     totals.compact()
-    totals.commit("2-delete", rollup.deletes(counts.filter("n_words = 0")))
-    return totals.totals()
+    totals.commit("2-delete", rollup.deletes(words.withColumn("n_tokens", F.col("n_words")).filter("n_words % 5 <> 0")))
+    out = stored(totals.totals())
+    totals.drop()
+    discard(counted)
+    return out
 
 
 def op9_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
