@@ -1,16 +1,19 @@
 """Quality by compression: how much smaller a text gets with a dictionary of good text than of bad.
 
 Two zstandard dictionaries are trained on pieces of labelled texts. A whole text is compressed with each; the
-difference of the sizes, divided by the larger, is close to 0 for text like neither and grows with the
-likeness to one. A logistic curve over it and over the two compression ratios, fitted to other labelled texts
-than those in the dictionaries, makes it a probability of label 1.
+difference of the sizes, divided by the text's own, is close to 0 for text like neither and grows with the
+likeness to one. Frame headers are left out of the sizes. A logistic curve makes the difference a probability
+of label 1. It is fitted to other labelled texts than those in the dictionaries: whole ones, as they are scored.
+What a dictionary saves is worth less the longer a text is, so the curve's slope and offset depend on the
+length: their values at KNOTS lengths are fitted, with straight lines between them in the logarithm.
 
-Training takes at most PER_CLASS documents of each label, those with the smallest hash of their id, and
-PIECES pieces of PIECE characters evenly spread over each; the driver holds 2 * PER_CLASS * PIECES * PIECE
-characters at most. Language, source and id are never inputs; ids only split the rows.
+Training takes at most 2 * PER_CLASS documents of each label, those with the smallest hash of their id, and of
+each up to WHOLE characters; the driver holds 4 * PER_CLASS * WHOLE characters at most. Dictionaries are made of
+PIECES pieces of PIECE characters evenly spread over each. Language, source and id are never inputs of a score;
+a hash of the id deals the training texts to the two halves.
 
 Edge cases: null text counts as empty and is scored like one; an empty text has a difference of 0 and the
-score that follows from it; without labels of both kinds all get the share of label 1, or 0.5; rows
+score that follows from it; a text of any length is compressed whole; without labels of both kinds all get the share of label 1, or 0.5; rows
 labelled twice count by their smaller label; repeated rows and null ids are rows like others (never held
 out); an empty table gives an empty result; other columns of the input are ignored.
 """
@@ -29,17 +32,21 @@ from pyspark.sql import functions as F
 
 from candorlake.llm.common import bucket, id_and_text, lean, lowest_hashes, rows_of
 
-PER_CLASS = 1200
-PIECES, PIECE = 3, 2000
+PER_CLASS = 600
+PIECES, PIECE, WHOLE = 3, 2000, 20_000
 DICTIONARY_BYTES, LEVEL = 64 << 10, 3
+#: Bytes of a frame's headers, as far as they are alike for every text.
+HEADER = 6
+#: Lengths in bytes at which the curve is fitted.
+KNOTS = (40, 160, 640, 2560, 10_240)
+RIDGE = 0.05
 THRESHOLD = 0.3
 
 
 class Model(NamedTuple):
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
+    scale: float
     weights: np.ndarray
     prior: float
 
@@ -51,35 +58,37 @@ class _Compressor:
         self._z = zstandard.ZstdCompressor(dict_data=own, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def size(self, text: bytes) -> int:
-        return len(self._z.compress(text))
+        return len(self._z.compress(text)) - HEADER
 
 
-def features(good: _Compressor, bad: _Compressor, texts: list[bytes | None]) -> np.ndarray:
-    """Normalised difference, both ratios, length, and the difference times length, per text."""
-    out = np.empty((len(texts), 5))
+def differences(good: _Compressor, bad: _Compressor, texts: list[bytes | None]) -> np.ndarray:
+    """(normalised difference, log length) of each text; 0 and 0 for an empty one."""
+    out = np.zeros((len(texts), 2))
     for i, text in enumerate(texts):
-        text = text or b""
-        a, b = good.size(text), bad.size(text)
-        n = max(1, len(text))
-        d = (b - a) / max(a, b) if text else 0.0
-        length = np.log(n)
-        out[i] = d, min(2.0, a / n), min(2.0, b / n), length, d * length
+        if text:
+            a, b = good.size(text), bad.size(text)
+            out[i] = (b - a) / len(text), np.log(len(text))
     return out
 
 
+def _inputs(x: np.ndarray, scale: float) -> np.ndarray:
+    """Of the curve: for each knot its share of the length, and this share times the difference."""
+    knots = np.log(KNOTS)
+    place = np.clip(np.interp(x[:, 1], knots, np.arange(len(knots))), 0, len(knots) - 1)
+    share = np.maximum(0, 1 - np.abs(place[:, None] - np.arange(len(knots))))
+    return np.column_stack([share, share * (x[:, :1] / scale)])
+
+
 def _scores(model: Model, x: np.ndarray) -> np.ndarray:
-    z = np.clip((x - model.mean) / model.scale, -8, 8) @ model.weights[1:] + model.weights[0]
-    return 1 / (1 + np.exp(-z))
+    return 1 / (1 + np.exp(-np.clip(_inputs(x, model.scale) @ model.weights, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Newton's steps with a light ridge."""
-    x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = np.diag([0.0] + [0.05] * (x.shape[1] - 1))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -91,13 +100,18 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
 
 
-def sample(docs: DataFrame, known: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, int, list[str]]]:
-    """(doc_id, label, pieces) of a bounded sample of rows (doc_id, label)."""
+def sample(docs: DataFrame, known: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, int, str]]:
+    """(doc_id, label, text) of a bounded sample of rows (doc_id, label); of a longer text up to WHOLE characters."""
     chosen = lowest_hashes(known, "label", 2 * per_class)
-    ends = F.greatest(F.length("text") - PIECE, F.lit(0))
-    pieces = [F.substring("text", (ends * (i / max(1, PIECES - 1))).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)]
-    rows = id_and_text(docs).filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.array_distinct(F.array(*pieces)).alias("pieces"))
-    return sorted((r.doc_id, r.label, r.pieces) for r in rows.collect())
+    rows = id_and_text(docs).filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.substring("text", 1, WHOLE).alias("text"))
+    return sorted((r.doc_id, r.label, r.text) for r in rows.collect())
+
+
+def _pieces(text: str) -> list[bytes]:
+    """Up to PIECES pieces of PIECE characters, evenly spread."""
+    end = max(0, len(text) - PIECE)
+    starts = dict.fromkeys(round(end * i / max(1, PIECES - 1)) for i in range(PIECES))
+    return [text[a : a + PIECE].encode("utf-8") for a in starts]
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
@@ -108,27 +122,28 @@ def _dictionary(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def train(rows: list[tuple[int, int, list[str]]], share: float | None = None) -> Model:
-    """rows: (id, label, pieces). One half by id makes the dictionaries, the other the curve.
+def train(rows: list[tuple[int, int, str]], share: float | None = None) -> Model:
+    """rows: (id, label, text). One half makes the dictionaries, the other the curve; the id only tells the halves.
 
     share: of label 1 among all labels, to which the curve is moved where the sample has another.
     """
     half = lambda r: zlib.crc32(f"half {r[0]}".encode()) % 2
     own = float(np.mean([r[1] for r in rows])) if rows else 0.5
     share = own if share is None else share
-    none = Model(b"", b"", np.zeros(5), np.ones(5), np.zeros(6), share)
-    texts = {label: [p.encode("utf-8") for r in rows if r[1] == label and half(r) == 0 for p in r[2]] for label in (0, 1)}
+    none = Model(b"", b"", 1.0, np.zeros(2 * len(KNOTS)), share)
+    texts = {label: [p for r in rows if r[1] == label and half(r) == 0 for p in _pieces(r[2])] for label in (0, 1)}
     rest = [r for r in rows if half(r) == 1]
     if not all(texts.values()) or len({r[1] for r in rest}) < 2:
         return none
     good, bad = _dictionary(texts[1]), _dictionary(texts[0])
-    # Pieces and whole texts have the same ratios but for length, which is a feature of its own.
-    x = np.concatenate([features(_Compressor(good), _Compressor(bad), [("".join(r[2])).encode("utf-8"), r[2][0].encode("utf-8")[: 40 + 37 * (r[0] % 50)]]) for r in rest])
-    y = np.repeat([r[1] for r in rest], 2).astype(float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = _logistic(np.clip((x - mean) / scale, -8, 8), y)
-    weights[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    return Model(good, bad, mean, scale, weights, share)
+    # Texts as they are, and their beginnings, so that short texts are met as often as long ones.
+    parts = [p for r in rest for p in (r[2], *(r[2][:n] for n in KNOTS[:-1] if n < len(r[2])))]
+    y = np.array([r[1] for r in rest for p in (0, *(n for n in KNOTS[:-1] if n < len(r[2])))], dtype=float)
+    x = differences(_Compressor(good), _Compressor(bad), [p.encode("utf-8") for p in parts])
+    scale = float(x[:, 0].std()) + 1e-9
+    weights = _logistic(_inputs(x, scale), y, RIDGE)
+    weights[: len(KNOTS)] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    return Model(good, bad, scale, weights, share)
 
 
 def _scorer(shared):
@@ -138,7 +153,7 @@ def _scorer(shared):
         pair = (_Compressor(model.good), _Compressor(model.bad)) if model.good else None
         for batch in batches:
             for ids, texts in rows_of(batch):
-                p = _scores(model, features(*pair, texts)) if pair else np.full(len(ids), model.prior)
+                p = _scores(model, differences(*pair, texts)) if pair else np.full(len(ids), model.prior)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return score
