@@ -7,12 +7,14 @@ whole groups of digits is proposed besides the whole. A boosted
 forest scores each candidate by its format and by the words around it. It is trained on labelled
 examples that ``examples`` makes (no table holds labelled spans): personal data in many forms, and dates,
 versions, prices, sizes, article and serial numbers that look alike, in sentences with and without hints. Half of
-the examples set, for each kind, the lowest score at which PRECISION of what is selected is right. Of
-overlapping candidates the likeliest is selected; none may overlap a base span.
+the examples train the forest, a quarter makes the curve from its scores to probabilities, and the last quarter
+sets, for each kind, the lowest probability from an even chance on at which PRECISION of what is selected is right. Of overlapping
+candidates the likeliest is selected, of equally likely ones the first, then the longest; none may overlap a base
+span.
 
 Edge cases: null text counts as empty; an empty text has no spans; all scans are linear in a text's length,
 for long runs of digits, dots or letters too; repeated rows and null ids are rows like others; an empty
-table gives an empty result; other columns of the input are ignored.
+table gives an empty result; other columns of the input, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from candorlake.llm import gbt
 from candorlake.llm.spans import Finder, Span, disjoint, find_spans
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
-PRECISION = 0.98
-EXAMPLES, SEED = 6000, 11
+PRECISION, EVEN = 0.98, 0.5
+EXAMPLES, SEED = 9000, 11
 CONTEXT = 40
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +43,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]++)++", re.I)
 _SPELLED_HINT = re.compile(r"dot|[\[({]at[\])}]|@ | @", re.I)
 _DIGITS, _BETWEEN = "0123456789", "().\x20/_-+"
 _GROUP = re.compile(r"[0-9]+")
@@ -319,9 +321,9 @@ def trained() -> Model:
     # Most stretches of numbers are wrong ones: the forest learns from every fourth, the curve below from all.
     made = [m for i, m in enumerate(made) if texts[m[0]] % 2 or m[2] or m[1].kind not in ("card", "phone", "ssn") or i % 4 == 0]
     x, y = np.array([features(t, c) for t, c, _ in made]), np.array([v for *_, v in made])
-    fold = np.array([texts[t] % 2 for t, *_ in made])
-    forest = gbt.fit(x[fold == 0], y[fold == 0])
-    z, t = gbt.log_odds(forest, x[fold == 1]), y[fold == 1]
+    part = np.array([texts[t] % 4 for t, *_ in made])  # 0 and 2: the forest, 1: the curve, 3: the limits
+    forest = gbt.fit(x[part % 2 == 0], y[part % 2 == 0])
+    z, t = gbt.log_odds(forest, x[part == 1]), y[part == 1]
     slope, offset = 1.0, 0.0
     for _ in range(50):  # Platt's curve by Newton's steps
         p = _probability(z, slope, offset)
@@ -329,15 +331,20 @@ def trained() -> Model:
         w = np.maximum(p * (1 - p), 1e-9)
         h = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + 1e-6 * np.eye(2)
         slope, offset = np.array([slope, offset]) + np.linalg.solve(h, g)
-    p = _probability(z, slope, offset)
-    kinds = np.array([c.kind for _, c, _ in made])[fold == 1]
-    limits = {}
-    for kind in KINDS:
-        own = np.flatnonzero(kinds == kind)
-        order = own[np.argsort(-p[own], kind="stable")]
-        precise = np.cumsum(t[order]) / np.arange(1, len(order) + 1) >= PRECISION
-        limits[kind] = max(0.5, float(p[order[np.flatnonzero(precise)[-1]]])) if precise.any() else 1.1
-    return Model(forest, float(slope), float(offset), limits)
+    last = part == 3
+    p, t = _probability(gbt.log_odds(forest, x[last]), slope, offset), y[last]
+    kinds = np.array([c.kind for _, c, _ in made])[last]
+    return Model(forest, float(slope), float(offset), {kind: limit_of(p[kinds == kind], t[kinds == kind]) for kind in KINDS})
+
+
+def limit_of(p: np.ndarray, t: np.ndarray) -> float:
+    """The lowest probability from which on PRECISION of the candidates are right, with a standard deviation of the
+    wrong ones' number to spare for candidates not seen, and which is an even chance itself; over 1 if there is none.
+    Examples are easier to tell apart than what the world holds: below an even chance the curve knows few cases."""
+    order = np.argsort(-p, kind="stable")
+    n = np.arange(1, len(order) + 1)
+    precise = np.flatnonzero(np.cumsum(1 - t[order]) <= n * (1 - PRECISION) - np.sqrt(n * PRECISION * (1 - PRECISION)))
+    return max(EVEN, float(p[order[precise[-1]]])) if len(precise) else 1.1
 
 
 def _scores(model: Model, text: str, proposed: list[Span]) -> np.ndarray:

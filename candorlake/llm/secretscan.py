@@ -5,17 +5,21 @@ with letters and digits in it is a candidate, as are passwords in addresses and
 network sees the candidate and CONTEXT characters before and after it, with the candidate's
 characters set apart from those around it. It is trained on labelled findings that ``examples`` makes (no
 table holds any): keys of many makes as code, logs and prose hold them, and names, paths, hosts, versions,
-checksums and numbers that look alike. Other examples calibrate the scores and set the limit: the lowest score
-at which PRECISION of what is selected is right and a key is at least as likely as not, and none that finds less
-than RECALL of the keys.
+checksums and numbers that look alike. Both stand behind the same words, so that it is the run that tells. Half
+of the examples train the network; a quarter, by whole candidates, makes the curve from scores to probabilities;
+the last quarter sets the limit on these: the lowest from an even chance on at which PRECISION of what is selected is
+right, and none that finds less than RECALL of the keys, with two standard deviations to spare for keys not seen.
 
 Edge cases: null text counts as empty; an empty text has no spans; all scans are linear in a text's length;
-a candidate longer than the network's row is seen in overlapping windows and in its parts, and the likeliest of them counts; repeated rows and null ids are rows like
-others; an empty table gives an empty result; redaction leaves other columns as they are.
+a candidate longer than the network's row is seen in overlapping windows and in its parts, and the likeliest of
+them counts; of overlapping candidates the likeliest counts, of equally likely ones the first, then the longest;
+repeated rows and null ids are rows like others; an empty table gives an empty result; redaction leaves other
+columns, of whatever name, as they are.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
@@ -31,9 +35,9 @@ from candorlake.llm.spans import Finder, Span, disjoint, find_spans
 KINDS = ("assign", "access", "hex", "key")
 LEAST, CONTEXT, OWN = 16, 24, 48
 ROW = OWN + 2 * CONTEXT
-RECALL, PRECISION = 0.97, 0.98
-EXAMPLES, SEED = 5000, 5
-WIDTHS, FILTERS, EPOCHS = (3, 5), 12, 5
+RECALL, PRECISION, EVEN = 0.97, 0.98, 0.5
+EXAMPLES, SEED = 10_000, 5
+WIDTHS, FILTERS, EPOCHS = (3, 5), 16, 8
 
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_HINT = re.compile(r"(?ai)passw|secret|token|api_?key")
@@ -41,7 +45,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 _PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
-_URL = re.compile(r"(?<=://)[^\s:/@]{1,64}:[^\s:/@]{4,128}(?=@)")
+_URL = re.compile(r"(?<=://)[^\s:/@]++:[^\s:/@]{4,}+(?=@)")
+_BEGIN = re.compile(r"-----BEGIN [^\n-]*PRIVATE KEY[^\n-]*-----")
+_END = re.compile(r"-----END [^\n-]*-----")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -69,15 +75,15 @@ def candidates(text: str) -> list[Span]:
                 out.append(Span("key", *m.span(), False))
     if "://" in text:
         out += [Span("key", *m.span(), False) for m in _URL.finditer(text)]
-    at = text.find("-----BEGIN ")
-    while at >= 0:
-        end = text.find("PRIVATE KEY-----", at, at + 60)
-        close = text.find("-----END ", end) if end >= 0 else -1
-        if close >= 0:
-            stop = text.find("-----", close + 9, close + 60)
-            out.append(Span("key", at, stop + 5 if stop >= 0 else close + 9, False))
-            at = close
-        at = text.find("-----BEGIN ", at + 1)
+    if "-----BEGIN " in text:
+        ends = [m.end() for m in _END.finditer(text)]
+        done = k = 0
+        for m in _BEGIN.finditer(text):
+            while k < len(ends) and ends[k] < m.end():
+                k += 1
+            if m.start() >= done and k < len(ends):
+                done = ends[k]
+                out.append(Span("key", m.start(), done, False))
     return out
 
 
@@ -111,6 +117,7 @@ def _key(r: random.Random) -> str:
         lambda: "ghp_" + some(36, alnum), lambda: "sk_live_" + some(24, alnum), lambda: "sk-" + some(40, alnum), lambda: "xoxb-" + some(12, string.digits) + "-" + some(24, alnum), lambda: "AIza" + some(35, alnum + "-_"),
         lambda: "glpat-" + some(20, alnum), lambda: "eyJ" + some(20, alnum) + "." + some(30, alnum) + "." + some(22, alnum + "-_"), lambda: some(r.randint(20, 44), alnum), lambda: some(r.randint(24, 43), alnum + "+/") + "=", lambda: some(40, alnum + "/+"),
         lambda: some(r.randint(20, 40), lower), lambda: some(r.randint(20, 36), string.ascii_uppercase + string.digits), lambda: some(31, "0123456789abcdef"), lambda: some(24, "0123456789abcdef"), lambda: some(40, "0123456789ABCDEF"),
+        lambda: some(r.randint(2, 4), string.ascii_letters) + r.choice(["", "", "_", "-"]) + some(r.choice([24, 32, 40]), "0123456789abcdef"),
     ])
     while True:
         out = make()
@@ -121,21 +128,34 @@ def _key(r: random.Random) -> str:
 _PARTS = ("data", "main", "report", "image", "user", "index", "test", "build", "node", "mail", "server", "example", "table", "final", "draft", "photo", "chapter", "module", "north", "stream", "release", "config", "vector", "summer")
 
 
+#: Frequent syllables, of which other words are made.
+_SYLLABLES = (
+    "ing er a ly ed i es re tion in e con y ter ex al de com o di en an ty ry u ti ri be per to pro ac ad ar ers ment or ble der ma na si un at dis ca cal man ap po sion vi el est la lar pa ture for is mer pe ra so "
+    "ta as col fi ful ger low ni par son tle day ny pen pre tive car ci mo on ous pi se ten tor ver ber can dy et it mu no ple land light set some sub sur"
+).split()
+
+
+def _word(r: random.Random) -> str:
+    return r.choice(_PARTS) if r.random() < 0.3 else "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
+
+
 def _lookalike(r: random.Random) -> str:
-    p = lambda: r.choice(_PARTS)
+    p = lambda: _word(r)
     n = lambda a, b: str(r.randint(a, b))
     return r.choice([
         lambda: f"{p()}_{p()}_{n(1, 99)}.{r.choice(['csv', 'txt', 'png', 'py', 'html'])}", lambda: f"{p()}/{p()}/{p()}-{n(1, 999)}.{r.choice(['jpg', 'md', 'json'])}", lambda: f"{p()}{n(1, 9)}.{p()}.com", lambda: f"www.{p()}{n(1, 20)}.org/{p()}/{p()}",
         lambda: f"{p()}-{p()}-{n(1, 30)}.{n(0, 9)}.{n(0, 20)}", lambda: f"{n(1990, 2030)}-{n(1, 12)}-{n(1, 28)}T{n(10, 23)}-{n(10, 59)}-{n(10, 59)}Z", lambda: f"{p().upper()}-{p().upper()}-{n(1000, 99999)}", lambda: f"{p()}.{p()}.{p()}{n(1, 9)}.{p()}",
         lambda: f"{p()}{p().title()}{p().title()}{n(1, 99)}", lambda: f"{p()}_{p()}_{p()}_{n(1, 2000)}", lambda: f"{p()}.{p()}{n(1, 99)}.{p()}-{p()}", lambda: f"{p()}={n(1, 99)}/{p()}={n(1, 99)}/{p()}", lambda: "".join(p() for _ in range(4)) + n(1, 9),
+        lambda: "-".join(p() for _ in range(r.randint(3, 8))) + "-" + n(1, 9999), lambda: "_".join(r.choice([p, p, p, lambda: n(1, 2030)])() for _ in range(r.randint(3, 9))) + n(1, 9), lambda: "/".join(p() for _ in range(r.randint(3, 8))) + f"{n(1, 40)}.{r.choice(['py', 'html', 'js', 'txt'])}",
+        lambda: ".".join(p() for _ in range(r.randint(2, 4))) + "." + "".join(p().title() for _ in range(r.randint(2, 4))) + n(1, 9), lambda: f"{r.choice(['IMG', 'DSC', 'VID', 'scan'])}_{n(2000, 2030)}{n(10, 12)}{n(10, 28)}_{n(100000, 235959)}.{r.choice(['jpg', 'mp4', 'png'])}", lambda: f"{p()}-{n(1, 30)}.{n(0, 99)}.{n(0, 9)}-{r.choice(['rc', 'beta', 'alpha', 'live', 'amd'])}{n(1, 64)}.{r.choice(['iso', 'zip', 'whl', 'tgz'])}",
+        lambda: f"{n(1, 20)}.{n(1000, 9999)}/{n(10, 999)}-{p()}-{p()}", lambda: f"{p()}/{n(1900, 2030)}/{n(1, 12)}/" + "-".join(p() for _ in range(r.randint(3, 8))) + ".html",
         lambda: f"{p()}{n(1, 99)}-{p()}{n(1, 99)}-{p()}", lambda: f"ISBN-{n(1000000000000, 9999999999999)}", lambda: f"{n(1, 99)}-{p()}-{n(1, 99)}-{p()}-{p()}",
     ])()
 
 
 _FILL = ("the", "of", "and", "see", "run", "with", "for", "file", "in", "der", "la", "que", "when", "from", "to", "is", "by", "at")
-#: What stands before keys, and before harmless runs.
-_BEFORE_KEY = ("key ", "key=", "auth: ", "Authorization: Bearer ", "credential ", "access_key = \"", "private key ", "client_id=", "pwd ", "use ", "--key ", "KEY='", "export X=", "")
-_BEFORE_OTHER = ("see ", "file ", "at ", "http://", "path=", "version ", "in ", "from ", "import ", "open ", "", "", "", "model ")
+#: What stands before keys and harmless runs alike.
+_BEFORE = ("key ", "key=", "auth: ", "Authorization: Bearer ", "credential ", "access_key = \"", "client_id=", "use ", "--key ", "KEY='", "export X=", "see ", "file ", "at ", "path=", "version ", "in ", "from ", "import ", "open ", "id: ", "value ", "ref ", "\"", "(", "", "", "", "")
 
 
 def _block(r: random.Random) -> str:
@@ -153,7 +173,7 @@ def _login(r: random.Random, secret: bool) -> str:
 
 def _path(r: random.Random, own: str) -> str:
     """A long path or chain with a key or a look-alike somewhere in it."""
-    steps = [r.choice([lambda: r.choice(_PARTS), lambda: r.choice(_PARTS), lambda: f"{r.choice(_PARTS)}{r.randint(1, 99)}", lambda: str(r.randint(1, 2030)), lambda: f"{r.choice(_PARTS)}-{r.choice(_PARTS)}", lambda: f"{r.choice(_PARTS)}={r.choice(_PARTS)}"])() for _ in range(r.randint(5, 18))]
+    steps = [r.choice([lambda: _word(r), lambda: _word(r), lambda: f"{_word(r)}{r.randint(1, 99)}", lambda: str(r.randint(1, 2030)), lambda: f"{_word(r)}-{_word(r)}", lambda: f"{_word(r)}={_word(r)}"])() for _ in range(r.randint(5, 18))]
     steps.insert(r.randint(0, len(steps)), r.choice(["", "", f"{r.choice(_PARTS)}="]) + own)
     return r.choice(["//", "/", ""]) + r.choice(["/", "/", "/", "."]).join(steps) + r.choice(["", "", ".html", ".json"])
 
@@ -173,7 +193,7 @@ def examples(count: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, Span, i
         whole = f"{r.choice(['https', 'postgres', 'ftp', 'mysql'])}://{own}@{r.choice(_PARTS)}.example.com/{r.choice(_PARTS)}" if shape < 0.05 else _path(r, own) if shape >= 0.7 else own
         words = [r.choice(_FILL) for _ in range(r.randint(2, 12))]
         at = r.randint(0, len(words))
-        before = r.choice(_BEFORE_KEY if secret else _BEFORE_OTHER)
+        before = r.choice(_BEFORE)
         text = " ".join(words[:at]) + " " + before + whole + r.choice(["", ".", "\"", "'", ",", "\n"]) + " " + " ".join(words[at:])
         least = min(LEAST, len(own))
         start = text.index(own, text.index(whole) + whole.index(own))
@@ -188,10 +208,25 @@ def examples(count: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, Span, i
 
 class Model(NamedTuple):
     network: bytenet.Network
-    #: The least score of a secret; scores' log-odds to probability: slope and offset.
-    limit: float
+    #: Scores' log-odds to probability: slope and offset; the least probability of a secret.
     slope: float
     offset: float
+    limit: float
+
+
+def _probability(score: np.ndarray, slope: float, offset: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * _log_odds(score) + offset, -40, 40)))
+
+
+def limit_of(p: np.ndarray, t: np.ndarray) -> float:
+    """The least probability from EVEN on at which PRECISION of what is selected is right, but at most the one above
+    which RECALL of the keys are, and two standard deviations of their number."""
+    n = int(t.sum())
+    missed = max(0, math.floor(n * (1 - RECALL) - 2 * math.sqrt(n * RECALL * (1 - RECALL))))
+    recalled = float(np.sort(p[t == 1])[missed])
+    order = np.argsort(-p, kind="stable")
+    precise = np.flatnonzero(np.cumsum(t[order]) / np.arange(1, len(order) + 1) >= PRECISION)
+    return min(recalled, max(EVEN, float(p[order[precise[-1]]]))) if len(precise) else recalled
 
 
 @lru_cache(maxsize=1)
@@ -200,21 +235,15 @@ def trained() -> Model:
     x, y = np.array([pictured(t, c) for t, c, _ in made]), np.array([v for *_, v in made])
     texts = {t: i for i, t in enumerate(dict.fromkeys(t for t, *_ in made))}
     of = np.array([texts[t] for t, *_ in made])
-    fit = of % 3 != 0
-    own = x[fit]
-    network = bytenet.fit(lambda rows, rng: own[rows], y[fit], 2, WIDTHS, FILTERS, EPOCHS)
-    # The limit is set on whole candidates: the likeliest view of each.
-    p, t = np.zeros(len(texts)), np.zeros(len(texts), dtype=int)
-    np.maximum.at(p, of[~fit], bytenet.Scorer(network).probabilities(x[~fit])[:, 1])
-    np.maximum.at(t, of[~fit], y[~fit])
-    p, t = p[::3], t[::3]
-    recalled = float(np.quantile(p[t == 1], 1 - RECALL))
-    order = np.argsort(-p, kind="stable")
-    precise = np.flatnonzero(np.cumsum(t[order]) / np.arange(1, len(order) + 1) >= PRECISION)
-    slope, offset = _platt(_log_odds(p), t)
-    even = float(1 / (1 + np.exp(offset / slope)))  # the score of an even chance
-    limit = min(recalled, max(even, float(p[order[precise[-1]]]))) if len(precise) else recalled
-    return Model(network, limit, slope, offset)
+    part = of % 4  # 0 and 1: the network, 2: the curve, 3: the limit
+    own = x[part < 2]
+    network = bytenet.fit(lambda rows, rng: own[rows], y[part < 2], 2, WIDTHS, FILTERS, EPOCHS)
+    # What follows goes by whole candidates: the likeliest view of each.
+    score, t = np.zeros(len(texts)), np.zeros(len(texts), dtype=int)
+    np.maximum.at(score, of[part > 1], bytenet.Scorer(network).probabilities(x[part > 1])[:, 1])
+    np.maximum.at(t, of[part > 1], y[part > 1])
+    slope, offset = _platt(_log_odds(score[2::4]), t[2::4])
+    return Model(network, slope, offset, limit_of(_probability(score[3::4], slope, offset), t[3::4]))
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -247,9 +276,8 @@ def finder(model: Model) -> Finder:
             part = seen[at : at + 512]
             np.maximum.at(best, [k for k, _ in part], scorer.probabilities(np.array([pictured(texts[rows[k][0]], v) for k, v in part]))[:, 1])
         good: list[list[Span]] = [[] for _ in texts]
-        sure = 1 / (1 + np.exp(-np.clip(model.slope * _log_odds(best) + model.offset, -40, 40)))
-        for (i, c), score, p in zip(rows, best, sure):
-            if score >= model.limit:
+        for (i, c), p in zip(rows, _probability(best, model.slope, model.offset)):
+            if p >= model.limit:
                 good[i].append(c._replace(probability=float(p)))
         return [f if not g else sorted([*f, *disjoint(f, g)], key=lambda s: (s.start, KINDS.index(s.kind))) for f, g in zip(fixed, good)]
 
