@@ -2,35 +2,34 @@
 
 A text is compared with a language's reference in two histograms: its characters by class, and its words
 by common word (all others in one bin). The measure is the Jensen-Shannon distance, the square root of
-the divergence in bits, from 0 to 1. The references are the summed counts of all texts of each language
-of COMMON_WORDS, so they cost one pass that sends a few numbers a language; a text is judged by the
-language whose common words it is closest to. A short text's histogram is mostly chance: below
-LEAST_CHARS or LEAST_WORDS the histogram isn't judged, and the limits widen with one over the root of the
-length.
+the divergence in bits, from 0 to 1. Every language of the table that has LEAST_TEXTS texts or more has a
+reference: its COMMON most frequent words and the summed counts of all its texts. Words are counted by
+language in one pass with partial sums, character classes in another; a few numbers a language reach the driver,
+whatever the number of texts. A text is judged by the language whose common words it is closest to. A short
+text's histogram is mostly chance: below LEAST_CHARS or LEAST_WORDS the histogram isn't judged, and the limits
+widen with one over the root of the length.
 
 Before that come rules on length and repetition. Runs of eight words that occur twice are found inside
 the row: hashes of the runs are only sorted where some hash occurs twice.
 
 Edge cases: null text counts as empty, has no words and fails; a text of any length is judged whole;
-repeated rows and null ids are rows like others; without any text of a known language there is no
-reference and the distances are null and pass; an empty table gives an empty result; other columns
-of the input are ignored.
+repeated rows and null ids are rows like others; of equally frequent words the first in order is common, of
+equally close languages the first by name is taken; without a language of enough texts there is no reference and
+the distances are null and pass; an empty table gives an empty result; other columns, of whatever name, are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candorlake.llm.common import stored
 
-#: Frequent short words of each language.
-COMMON_WORDS = {
-    "de": ["auf", "das", "dem", "den", "der", "des", "die", "ein", "eine", "für", "im", "in", "ist", "mit", "nicht", "sich", "und", "von", "zu"],
-    "en": ["a", "and", "are", "as", "at", "be", "by", "for", "from", "he", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"],
-    "es": ["con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "para", "por", "que", "se", "su", "un", "una", "y"],
-    "fr": ["au", "avec", "dans", "de", "des", "du", "en", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une"],
-}
+#: Words that a language is told by, and the least number of texts of a language that has a reference.
+COMMON, LEAST_TEXTS = 20, 20
 #: Character classes that are counted by pattern. The histogram is one of bytes: these, white
 #: space, symbols, the bytes that continue a character beyond ASCII, and the rest (mostly small letters).
 CLASSES = {"upper": r"[A-Z]+", "digit": r"[0-9]+", "stop": r"[.,;:!?'\"()-]+"}
@@ -49,11 +48,28 @@ def _number_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _histograms(rows: DataFrame) -> DataFrame:
-    """Adds words, n_words, word_chars, n_symbols, chars (counts by class) and common (by language and word)."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, text, words) of every row; null text as empty."""
+    language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("words", F.filter(F.split("text", _SPLIT), lambda w: w != ""))
+
+
+def common_words(docs: DataFrame) -> dict[str, list[str]]:
+    """The most frequent words of each language with enough texts, by name and in order of the words."""
+    rows = _rows(docs).filter(F.col("lang").isNotNull() & (F.size("words") > 0))
+    languages = rows.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_TEXTS).select("lang")
+    counted = rows.join(F.broadcast(languages), "lang", "left_semi").select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= COMMON)  # tasks rank their own words first
+    found = best.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    return {r.lang: list(r.words) for r in sorted(found.collect())}
+
+
+def _histograms(rows: DataFrame, common: dict[str, list[str]]) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, chars (counts by class) and counts (of the languages' common words)."""
     text = F.col("text")
-    every = sorted({w for words in COMMON_WORDS.values() for w in words})
-    rows = rows.withColumn("words", F.filter(F.split(text, _SPLIT), lambda w: w != ""))
+    every = sorted({w for words in common.values() for w in words})
     rows = rows.withColumns({
         "n_words": F.size("words").cast("long"),
         "n_chars_": F.length(text),
@@ -61,7 +77,7 @@ def _histograms(rows: DataFrame) -> DataFrame:
         "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": _number_of(text, SYMBOLS).cast("long"),
         "of_class": F.array(*[_number_of(text, p).cast("long") for p in CLASSES.values()]),
-        "known": F.filter("words", lambda w: w.isin(every)),
+        "known": F.filter("words", lambda w: w.isin(every) if every else F.lit(False)),
     })
     further = [F.col("n_chars_") - F.col("word_chars"), F.col("n_symbols"), (F.col("n_bytes_") - F.col("n_chars_")).cast("long")]
     counted = sum([F.col("of_class")[i] for i in range(len(CLASSES))], sum(further, F.lit(0)))
@@ -71,43 +87,48 @@ def _histograms(rows: DataFrame) -> DataFrame:
     first = F.transform("sorted", lambda w, i: F.when((i == 0) | (F.get("sorted", i - 1) != w), F.struct(w.alias("w"), i.alias("i"))))
     rows = rows.withColumn("firsts", F.filter(first, lambda e: e.isNotNull()))
     until = lambda i: F.coalesce(F.get("firsts", i + 1)["i"], F.size("sorted"))
-    rows = rows.withColumn("counts", F.map_from_arrays(F.transform("firsts", lambda e: e["w"]), F.transform("firsts", lambda e, i: until(i) - e["i"])))
-    of = lambda w: F.coalesce(F.try_element_at("counts", F.lit(w)), F.lit(0))
-    return rows.withColumn("common", F.array(*[F.array(*[of(w) for w in words]) for words in COMMON_WORDS.values()]))
+    return rows.withColumn("counts", F.map_from_arrays(F.transform("firsts", lambda e: e["w"]), F.transform("firsts", lambda e, i: until(i) - e["i"])))
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     """One row a document: all that its text is judged by, and its language."""
-    language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = _histograms(rows).withColumn("lines", lines)
+    rows = _histograms(_rows(docs), common).withColumn("lines", lines)
     rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    kept = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_chars_", "n_bytes_", "chars", "common"]
+    kept = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_chars_", "n_bytes_", "chars", "counts"]
     return _repeats(rows.select(*kept, "words")).select(*kept, "n_repeat_words")
 
 
-def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of byte classes, and of common words with all other words last, by language, of profiles."""
-    names = list(COMMON_WORDS)
+class Reference(NamedTuple):
+    """Of a language: shares of byte classes; its common words, their shares, and that of all other words."""
+
+    lang: str
+    chars: list[float]
+    words: list[str]
+    shares: list[float]
+    rest: float
+
+
+def references(rows: DataFrame, common: dict[str, list[str]]) -> list[Reference]:
+    """The references of the languages of common, from profiles."""
     size = len(CLASSES) + 4
+    rows = rows.filter(F.col("lang").isin(list(common)))
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(size)]
-    widest = max(map(len, COMMON_WORDS.values()))
-    own = F.get("common", F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1)
-    rows = rows.filter(F.col("lang").isin(names)).select("lang", "chars", "n_words", own.alias("own"))
-    sums += [F.sum(F.get("own", F.lit(i))).alias(f"w{i}") for i in range(widest)]
-    out = {}
-    for r in rows.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect():
-        chars = [r[f"c{i}"] for i in range(size)]
-        words = [r[f"w{i}"] for i in range(len(COMMON_WORDS[r.lang]))]
-        if r.n and sum(chars):
-            out[r.lang] = [c / sum(chars) for c in chars], [w / r.n for w in [*words, r.n - sum(words)]]
+    of_lang = {r.lang: r for r in rows.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect()}
+    of_word = {(r.lang, r.key): r.n for r in rows.select("lang", F.explode("counts")).groupBy("lang", "key").agg(F.sum("value").alias("n")).collect()}
+    out = []
+    for name, words in common.items():
+        r = of_lang.get(name)
+        if r and r.n:
+            chars = [r[f"c{i}"] for i in range(size)]
+            shares = [of_word.get((name, w), 0) / r.n for w in words]
+            out.append(Reference(name, [c / sum(chars) for c in chars], words, shares, (r.n - sum(of_word.get((name, w), 0) for w in words)) / r.n))
     return out
 
 
-def _distance(shares: Column, reference: list[float]) -> Column:
+def _distance(shares: Column, reference: Column) -> Column:
     half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    parts = F.zip_with(shares, F.array(*map(F.lit, reference)), lambda p, q: half(p, (p + q) / 2) + half(q, (p + q) / 2))
+    parts = F.zip_with(shares, reference, lambda p, q: half(p, (p + q) / 2) + half(q, (p + q) / 2))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
@@ -128,20 +149,25 @@ def _repeats(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.aggregate("starts", start, step)["n"].cast("long"))
 
 
-def judge(docs: DataFrame, known: dict[str, tuple[list[float], list[float]]] | None = None) -> DataFrame:
+def judge(docs: DataFrame, known: list[Reference] | None = None) -> DataFrame:
     """One row a document: the counts, base_failed, the distances from the closest language, kept."""
-    rows = stored(profiles(docs))
-    known = references(rows) if known is None else known
+    common = common_words(docs) if known is None else {r.lang: r.words for r in known}
+    rows = stored(profiles(docs, common))
+    known = references(rows, common) if known is None else known
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("n_bytes_", F.lit(1))
     rows = rows.withColumn("char_shares", F.transform("chars", lambda x: x / chars))
-    per_language = []
-    for i, name in enumerate(COMMON_WORDS):
-        if name in known:
-            own = F.col("common")[i]
-            other = F.col("n_words") - F.aggregate(own, F.lit(0), lambda s, x: s + x)
-            shares = F.transform(F.concat(own.cast("array<bigint>"), F.array(other)), lambda x: x / n)
-            per_language.append(F.struct(_distance(shares, known[name][1]).alias("words"), F.lit(name).alias("lang"), _distance(F.col("char_shares"), known[name][0]).alias("chars")))
-    closest = F.array_min(F.array(*per_language)) if per_language else F.lit(None).cast("struct<words: double, lang: string, chars: double>")
+    if known:
+        kind = "array<struct<lang: string, chars: array<double>, words: array<string>, shares: array<double>, rest: double>>"
+        made = docs.sparkSession.createDataFrame([([tuple(r) for r in known],)], f"refs {kind}")
+        rows = rows.crossJoin(F.broadcast(made))  # one row
+
+    def measured(ref: Column) -> Column:
+        own = F.transform(ref["words"], lambda w: F.coalesce(F.try_element_at("counts", w), F.lit(0)))
+        other = F.col("n_words") - F.aggregate(own, F.lit(0), lambda s, x: s + x)
+        shares = F.transform(F.concat(own.cast("array<bigint>"), F.array(other)), lambda x: x / n)
+        return F.struct(F.round(_distance(shares, F.concat(ref["shares"], F.array(ref["rest"]))), 12).alias("words"), ref["lang"].alias("lang"), _distance(F.col("char_shares"), ref["chars"]).alias("chars"))
+
+    closest = F.array_min(F.transform("refs", measured)) if known else F.lit(None).cast("struct<words: double, lang: string, chars: double>")
     rows = rows.withColumn("closest", closest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_", F.col("closest.lang").alias("closest_lang"), F.col("closest.chars").alias("char_distance"), F.col("closest.words").alias("word_distance"))
     failed = (F.col("n_words") < LEAST_BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     odd_chars = (F.col("n_chars_") >= LEAST_CHARS) & (F.col("char_distance") > CHAR_LIMIT + CHAR_CHANCE / F.sqrt(F.greatest("n_chars_", F.lit(1))))

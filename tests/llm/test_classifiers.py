@@ -3,7 +3,9 @@
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+import zstandard
 
 from candorlake.llm import compression, langid, oracles, rules
 from candorlake.llm.shingles import shingle_sets
@@ -26,6 +28,33 @@ def test_languages_of_odd_rows(docs, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd.filter("lang IS NULL")).collect()} == {"und"}
 
 
+def test_scores_equal_a_plain_forward_pass(docs):
+    """The lookup tables against sums written out, on whole texts of one window and of several."""
+    net = langid.train(*langid.training_windows(docs, ~langid.held_out(), per_language=20))
+    texts = [r.text for r in docs.limit(12).collect()] + ["ein kurzer satz", "x"]
+    names, scores = langid.languages_of(net)(texts)
+    n = net.network
+    for text, name, score in zip(texts, names, scores):
+        data = np.frombuffer(text.lower().encode(), dtype=np.uint8)
+        total = np.zeros(len(net.languages))
+        for at in range(0, len(data), langid.WINDOW):
+            part = data[at : at + langid.WINDOW]
+            x = np.concatenate([part, np.full(langid.WINDOW - len(part), 32, dtype=np.uint8)])
+            h = []
+            for w in n.weights:
+                h += [max(sum(float(w[j, x[i + j], k]) for j in range(len(w))) for i in range(len(x) - len(w) + 1)) for k in range(w.shape[2])]
+            z = np.maximum(np.array(h) + n.bias, 0) @ n.dense + n.dense_bias
+            p = np.exp(z - z.max())
+            total += p / p.sum() * len(part) / len(data)
+        assert net.languages[int(total.argmax())] == name and abs(total.max() - score) < 1e-4
+        if len(data) > 3000:
+            break
+
+
+def test_letters():
+    assert [langid.has_letter(t) for t in (None, "", "½", "² Ⅷ ①", "12 %", "a", "½ x", "中", "_é")] == [False, False, False, False, False, True, True, True, True]
+
+
 def test_quality(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -48,6 +77,14 @@ def test_quality_of_odd_rows(spark, odd, empty, labels):
     docs = spark.createDataFrame([(i, ("good text about the world and its people " if i % 2 else "spam !!! buy now $$$ ") * 9) for i in range(80)], "doc_id long, text string")
     marked = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality", "0 AS toxic")
     model = compression.train(compression.sample(docs, compression.labelled(marked)))
+    texts = [b"good text about the world", b"spam !!! buy now", None, b"", "é".encode() * 50]
+    got = compression.differences(*(compression._Compressor(x) for x in (model.good, model.bad)), texts)
+    for (d, n), t in zip(got, texts):  # by the library's plain calls
+        sizes = [len(zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t or b"")) for x in (model.good, model.bad)]
+        assert abs(d - ((sizes[1] - sizes[0]) / len(t) if t else 0)) < 1e-12
+    assert got[0][0] > 0 > got[1][0] and got[2].tolist() == got[3].tolist() == [0, 0]
+    scores = compression._scores(model, got)
+    assert scores[0] > 0.5 > scores[1]
     got = compression.quality(odd, labels, model).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
 
@@ -79,8 +116,24 @@ def test_rules_of_odd_rows(spark, odd, empty):
 
 
 def test_rules_are_native(docs):
-    plan = rules.profiles(docs)._jdf.queryExecution().toString()
-    assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+    common = {"en": ["of", "the"], "de": ["der", "die"]}
+    known = [rules.Reference("en", [1 / 7] * 7, ["of", "the"], [0.1, 0.1], 0.8)]
+    for df in (rules.profiles(docs, common), rules.judge(docs, known)):
+        plan = df._jdf.queryExecution().toString()
+        assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_rules_know_every_language_of_the_table(spark, docs):
+    """A language that nobody listed is told by its own words, and its documents stay."""
+    import random
+
+    r = random.Random(3)
+    stop, rest = ["ja", "on", "ei", "se", "hän", "oli", "kun", "niin"], [f"{a}{b}{c}nen" for a in ("kau", "tal", "met", "jär") for b in ("pu", "vi", "sä", "lo") for c in ("ki", "la", "mi", "")]
+    fifth = [(10**9 + i, " ".join(r.choice(stop if r.random() < 0.4 else rest) for _ in range(150)), "fi") for i in range(60)]
+    table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(fifth, "doc_id long, text string, lang string"))
+    got = rules.judge(table).filter("doc_id >= 1000000000").collect()
+    assert len(got) == 60 and all(x.kept and x.closest_lang == "fi" for x in got)
+    assert set(rules.common_words(table)["fi"]) >= set(stop) and set(rules.common_words(table)) == {"de", "en", "es", "fi", "fr"}
 
 
 def test_shingles():
