@@ -106,3 +106,20 @@ def top_subgraph(edges: DataFrame, count: int = 200) -> DataFrame:
 def largest_edge_score(scored: DataFrame) -> DataFrame:
     """(reviewer_user_id, max_score) of scored reviews."""
     return scored.groupBy("reviewer_user_id").agg(F.max("suspicion_score").alias("max_score"))
+
+
+def suspicious_graph(scored: DataFrame, place: str = "place_id") -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of flagged reviews alone, for where no whole graph is at hand: edges carry the score,
+    vertices of reviewers the largest one of theirs."""
+    from candorlake.operators.network import edges as edges_of
+    from candorlake.operators.network import vertices as vertices_of
+
+    rows = scored.filter("is_suspicious")
+    edge = edges_of(rows, place).join(rows.select("review_id", "suspicion_score"), "review_id")
+    largest = edge.groupBy(F.col("src").alias("node")).agg(F.max("suspicion_score").alias("max_score"))
+    return vertices_of(edge).join(largest, "node", "left"), edge
+
+
+def drawn_edges(edges: DataFrame, above: int = 500, count: int = 200) -> DataFrame:
+    """The edges of a graph of up to ``above`` nodes, else those among its nodes of most edges."""
+    return edges if _both_ways(edges).agg(F.count_distinct("u")).first()[0] <= above else top_subgraph(edges, count)

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candorlake.functions.exprs import clip01, holds, share
+from candorlake.session import written
 
 LEAST_COMMON, MANY_COMMON, LEAST_EDGES = 3, 20, 3
+#: Reviewers of a place that are compared with each other in one group.
+BLOCK = 256
 #: Weights of the score's parts.
 WEIGHTS = {"degree": 0.20, "homogeneity": 0.20, "bursts": 0.25, "common": 0.30, "co_burst": 0.05}
 
@@ -36,23 +39,36 @@ def reviewer_metrics(df: DataFrame, place: str = "place_id") -> DataFrame:
 def co_reviewers(df: DataFrame, place: str = "place_id") -> DataFrame:
     """(reviewer_user_id, co_reviewer_count): with how many others a reviewer shares LEAST_COMMON places.
 
-    Only reviewers of that many places count. A pair that shares LEAST_COMMON places shares one besides the
-    LEAST_COMMON - 1 most visited ones, so pairs are formed at the other places only, and the most visited
-    are added to a pair's count as flags of its two reviewers: the place where everyone has been makes
-    no pairs.
+    Only reviewers of that many places count, and only places that two of them have visited. Reviewers with the
+    same places are one class with a size. With a class's n places in order of growing number of visitors, two
+    classes with LEAST_COMMON places in common have one of them among the first n - LEAST_COMMON + 1 of both, so
+    each is posted at those alone: places that many have visited, however many such places there are, fall out of
+    nearly all lists, and those who went to the most visited ones only are few classes. Pairs found are
+    confirmed on whole lists, each at its first common place. A place in the lists of many classes is dealt out in
+    blocks, so that no task gets all its pairs.
     """
     visits = df.filter(F.col("reviewer_user_id").isNotNull() & F.col(place).isNotNull()).select(F.col("reviewer_user_id").alias("r"), F.col(place).alias("p")).distinct()
     able = visits.groupBy("r").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_COMMON).select("r")
     visits = visits.join(able, "r", "left_semi")
-    top = visits.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(LEAST_COMMON - 1).select("p")
-    at_top = visits.join(F.broadcast(top), "p", "left_semi").groupBy("r").agg(F.sort_array(F.collect_set("p")).alias("tops"))
-    rest = visits.join(F.broadcast(top), "p", "left_anti")
-    pairs = rest.select("p", F.col("r").alias("a")).join(rest.select("p", F.col("r").alias("b")), "p").filter("a < b")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") > 0)
-    flags = lambda x: at_top.select(F.col("r").alias(x), F.col("tops").alias(f"tops_{x}"))
-    short = counted.filter(F.col("n") < LEAST_COMMON).join(flags("a"), "a").join(flags("b"), "b")
-    good = counted.filter(F.col("n") >= LEAST_COMMON).select("a", "b").unionByName(short.filter(F.col("n") + F.size(F.array_intersect("tops_a", "tops_b")) >= LEAST_COMMON).select("a", "b"))
-    return good.select(F.explode(F.array("a", "b")).alias("reviewer_user_id")).groupBy("reviewer_user_id").agg(F.count("*").alias("co_reviewer_count"))
+    visitors = written(visits.groupBy("p").agg(F.count("*").alias("k")).filter("k > 1").withColumn("id", F.monotonically_increasing_id()))
+    lists = visits.join(visitors, "p").groupBy("r").agg(F.array_sort(F.collect_list(F.struct("k", "id")))["id"].alias("ps")).filter(F.size("ps") >= LEAST_COMMON)
+    lists = written(lists)
+    classes = written(lists.groupBy("ps").agg(F.count("*").alias("size")).withColumn("c", F.monotonically_increasing_id()))
+    posted = classes.select("c", "size", "ps", F.explode(F.slice("ps", F.lit(1), F.size("ps") - (LEAST_COMMON - 1))).alias("p"))
+    blocks = posted.groupBy("p").agg(F.count("*").alias("m")).filter("m > 1").select("p", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    posted = posted.join(blocks, "p").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    both = F.transform(every, lambda y: F.struct(F.least(F.col("block"), y).alias("x"), F.greatest(F.col("block"), y).alias("y")))
+    dealt = posted.select("p", "c", "size", "ps", "block", F.explode(both).alias("at"))
+    a = dealt.filter(F.col("block") == F.col("at.x")).select("p", "at", F.col("c").alias("a"), F.col("size").alias("size_a"), F.col("ps").alias("x"))
+    b = dealt.filter(F.col("block") == F.col("at.y")).select("p", "at", F.col("c").alias("b"), F.col("size").alias("size_b"), F.col("ps").alias("y"))
+    pairs = a.join(b, ["p", "at"]).filter((F.col("a") < F.col("b")) | (F.col("at.x") != F.col("at.y")))
+    common = F.array_intersect("x", "y")  # in the order of x, which is the same for all
+    good = pairs.withColumn("common", common).filter((F.size("common") >= LEAST_COMMON) & (F.get("common", F.lit(0)) == F.col("p")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("size_b").alias("n")), F.struct(F.col("b").alias("c"), F.col("size_a").alias("n")))).alias("e")
+    others = good.select(ends).select("e.c", "e.n").unionByName(classes.select("c", (F.col("size") - 1).alias("n"))).groupBy("c").agg(F.sum("n").alias("co_reviewer_count"))
+    counted = classes.join(others.filter("co_reviewer_count > 0"), "c").select("ps", "co_reviewer_count")
+    return lists.join(counted, "ps").select(F.col("r").alias("reviewer_user_id"), "co_reviewer_count")
 
 
 def reviewer_scores(metrics: DataFrame, common: DataFrame, flagged: DataFrame) -> DataFrame:

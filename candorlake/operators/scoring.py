@@ -88,6 +88,16 @@ def anonymised(df: DataFrame, salt: str) -> DataFrame:
     return df.withColumns(changes)
 
 
+def bridged(raw: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(review_id, pseudonym, reviewer_user_id): from the pseudonyms of an export back to the raw ids, by review."""
+    return hidden.select("review_id", F.col("reviewer_user_id").alias("pseudonym")).join(raw.select("review_id", "reviewer_user_id"), "review_id")
+
+
+def reviewer_means(scored: DataFrame) -> DataFrame:
+    """(reviewer_user_id, mean_score, n) of scored reviews."""
+    return scored.groupBy("reviewer_user_id").agg(F.avg("suspicion_score").alias("mean_score"), F.count("*").alias("n"))
+
+
 #: Groups of components that the analysis looks at, other than the weights' order.
 COMPOSITES = {
     "heuristic": ("mnr_score", "pr_score", "detail_level_score", "reviewer_profile_score", "fact_compatibility_score", "attr_template_score"),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from candorlake.functions.exprs import age_days, cosine, number_label, row_mean, row_std, shortened
 from candorlake.operators import cluster, graph, heuristic, marts, network, prepare, quality, reports, sampling, scoring, semantic, temporal
 from candorlake.plans import reviews as plan
-from candorlake.schema import SUB_RATINGS
-from candorlake.session import written
+from candorlake.schema import RAW_NAMES, SUB_RATINGS
+from candorlake.session import shared_folder, written
+from candorlake.sources import files
 from candorlake.sources.tables import event_reviews, for_duckdb, reviews, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,12 +219,12 @@ def _clean_like(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("edit_delta_hours", hours).withColumnsRenamed({"created_at": "timestamp_created_iso", "edited_at": "timestamp_edited_iso"})
 
 
-@query(f"""WITH {_HEURISTIC_SQL} SELECT review_id, place_url AS restaurant_id, reviewer_user_id, rating_stars, review_language, sub_rating_food, sub_rating_service, sub_rating_atmosphere, lvl AS review_detail_level, has_review_text, len(s) > 0 AS has_sub_ratings,
+@query(f"""WITH {_HEURISTIC_SQL} SELECT review_id, concat_ws(' ', place_name, review_language) AS review_text, CAST(length(concat_ws(' ', place_name, review_language)) AS INTEGER) AS review_text_length, epoch_us(created_at) AS review_created_at, epoch_us(edited_at) AS review_edited_at, epoch_us(crawl_timestamp) AS crawl_timestamp, place_url AS restaurant_id, reviewer_user_id, rating_stars, review_language, sub_rating_food, sub_rating_service, sub_rating_atmosphere, lvl AS review_detail_level, has_review_text, len(s) > 0 AS has_sub_ratings,
   edited_at IS NOT NULL AS was_edited, round((epoch_us(edited_at) - epoch_us(created_at)) / 3.6e9, 6) AS edit_delta_hours, CAST(created_at AS DATE) AS review_date, place_name, place_overall_rating, place_total_reviews, reviewer_name, reviewer_review_count, reviewer_photo_count, reviewer_is_local_guide, reviewer_level, attr_meal_type, attr_price_range FROM rowstat""")
 def fact_reviews(spark, d):
-    rows = marts.staged_reviews(_clean_like(spark, d).withColumn("review_text", F.lit(""))).withColumnRenamed("place_url", "restaurant_id")
-    keep = [c for c in marts.FACT if c in rows.columns and c not in ("review_text", "review_text_length", "review_created_at", "review_edited_at", "crawl_timestamp")]
-    return rounded(rows.select(*keep))
+    rows = marts.fact_reviews(_clean_like(spark, d).withColumn("review_text", F.concat_ws(" ", "place_name", "review_language")))
+    whole = [c for c, kind in rows.dtypes if kind.startswith("timestamp")]  # as microseconds: engines differ in zones
+    return rounded(rows.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in whole}))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC NULLS LAST, l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1")
@@ -306,9 +307,33 @@ _NETWORK_SQL = f"""{_TEMPORAL_SQL}, {_CO_SQL}, {_METRICS_SQL},
 net AS (SELECT m.*, coalesce(co_reviewer_count, 0) AS co_reviewer_count, degree / (SELECT max(degree) FROM metrics) * rating_homogeneity AS s_degree_homogeneity,
   0.20 * degree / (SELECT max(degree) FROM metrics) * rating_homogeneity + 0.20 * rating_homogeneity + 0.25 * burst_edge_ratio + 0.30 * least(1, coalesce(co_reviewer_count, 0) / 20) + 0.05 * CASE WHEN co.reviewer_user_id IS NOT NULL THEN 1 ELSE 0 END AS network_score
   FROM metrics m LEFT JOIN common USING (reviewer_user_id) LEFT JOIN co USING (reviewer_user_id))"""
-_FULL_SQL = f"""{_HEURISTIC_SQL}, {_NETWORK_SQL},
-comp AS (SELECT review_id, round(greatest(0, least(1, 0.35 * network_score + 0.15 * burst_suspicion_score + 0.10 * rating_deviation_score + 0.08 * consistency_score + 0.07 * coalesce(mnr_score, 0) + 0.05 * pr_score + 0.05 * detail_level_score)), 9) AS suspicion_score, place_name, place_url, in_burst, in_co_burst, rating_stars, created_at
-  FROM r JOIN heur USING (review_id) JOIN timed USING (review_id) JOIN net USING (reviewer_user_id)),
+#: Texts, sentiment labels and vectors of reviews: those of the document and the vector that the part's number picks.
+_TEXTS_SQL = """rt AS (SELECT review_id, reviewer_user_id, place_id, rating_stars, sub_rating_service, review_language, has_review_text, attr_meal_type, attr_price_range, text AS review_text, CASE WHEN toxic = 1 OR quality = 0 THEN 'negative' WHEN quality = 1 THEN 'positive' END AS label, embedding
+  FROM r LEFT JOIN documents ON doc_id = CAST(product_id AS BIGINT) % (SELECT count(*) FROM documents) LEFT JOIN labels USING (doc_id) LEFT JOIN embeddings ON vec_id = CAST(product_id AS BIGINT) % (SELECT count(*) FROM embeddings))"""
+_SCORE_RULES = (semantic.Rule(["tion", "the "], "attr_meal_type", ["BRASS", "STEEL"]), semantic.Rule(["der ", "keit"], "attr_price_range", ["1", "2"]))
+
+
+def _rules_sql(rules: tuple[semantic.Rule, ...], text: str) -> str:
+    has = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+    hit = [f"CASE WHEN {r.field} IS NOT NULL AND {has(f'lower({text})', r.keywords)} THEN 1 ELSE 0 END" for r in rules]
+    bad = [f"CASE WHEN {r.field} IS NOT NULL AND {has(f'lower({text})', r.keywords)} AND {has(r.field, r.contradicts)} THEN 1 ELSE 0 END" for r in rules]
+    return f"coalesce(({' + '.join(bad)}) / nullif({' + '.join(hit)}, 0), 0)"
+
+
+def _mismatch_sql(stars: str) -> str:
+    return f"CASE WHEN review_language = 'de' AND has_review_text AND length(review_text) > 20 AND ((label = 'positive' AND {stars} = 1) OR (label = 'negative' AND {stars} = 5)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+_SEMANTIC_SQL = f"""{_TEXTS_SQL},
+unit AS (SELECT review_id, reviewer_user_id, embedding::DOUBLE[] AS v FROM rt WHERE embedding IS NOT NULL AND review_language = 'de' AND has_review_text AND length(review_text) > 20),
+near AS (SELECT a.review_id, greatest(0, max(list_cosine_similarity(a.v, b.v))) AS mcs FROM unit a JOIN unit b ON a.reviewer_user_id = b.reviewer_user_id AND a.review_id <> b.review_id GROUP BY ALL),
+al AS (SELECT review_id, reviewer_user_id, place_id, list_filter([CASE WHEN attr_meal_type IS NOT NULL THEN concat('m=', attr_meal_type) END, CASE WHEN attr_price_range IS NOT NULL THEN concat('p=', attr_price_range) END], lambda x: x IS NOT NULL) AS l FROM r),
+tmpl AS (SELECT a.review_id, max(len(list_intersect(a.l, b.l)) / (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l)))) AS best FROM al a JOIN al b ON a.reviewer_user_id = b.reviewer_user_id AND a.place_id <> b.place_id WHERE len(a.l) > 0 AND len(b.l) > 0 GROUP BY ALL),
+sem AS (SELECT review_id, coalesce(mcs, 0) AS mcs_score, {_rules_sql(_SCORE_RULES, 'review_text')} AS fact_compatibility_score, coalesce(best, 0) AS attr_template_score, {_mismatch_sql('rating_stars')} AS sentiment_star_inconsistency, {_mismatch_sql('sub_rating_service')} AS sentiment_subrating_inconsistency
+  FROM rt LEFT JOIN near USING (review_id) LEFT JOIN tmpl USING (review_id))"""
+_FULL_SQL = f"""{_HEURISTIC_SQL}, {_NETWORK_SQL}, {_SEMANTIC_SQL},
+comp AS (SELECT review_id, round(greatest(0, least(1, 0.35 * network_score + 0.15 * burst_suspicion_score + 0.10 * rating_deviation_score + 0.08 * consistency_score + 0.07 * coalesce(mnr_score, 0) + 0.05 * pr_score + 0.05 * detail_level_score + 0.06 * mcs_score + 0.03 * fact_compatibility_score + 0.02 * attr_template_score + 0.02 * sentiment_star_inconsistency + 0.02 * sentiment_subrating_inconsistency)), 9) AS suspicion_score, place_name, place_url, in_burst, in_co_burst, rating_stars, created_at
+  FROM r JOIN heur USING (review_id) JOIN timed USING (review_id) JOIN net USING (reviewer_user_id) JOIN sem USING (review_id)),
 lim AS (SELECT quantile_cont(suspicion_score, 0.5) AS p50, quantile_cont(suspicion_score, 0.75) AS p75, quantile_cont(suspicion_score, 0.9) AS p90, quantile_cont(suspicion_score, 0.95) AS p95 FROM comp),
 flagd AS (SELECT comp.*, suspicion_score > p90 AS is_suspicious, p50, p75, p90 FROM comp, lim)"""
 
@@ -366,14 +391,10 @@ def top_subgraph(spark, d):
     return graph.top_subgraph(network.edges(reviews(spark, d))).select("review_id", "src", "dst")
 
 
-_THIN = "o_totalprice > 300000"
-
-
-@query(f"""WITH RECURSIVE ed AS MATERIALIZED (SELECT DISTINCT concat('o_', CAST(o_orderkey AS STRING)) AS a, concat('c_', CAST(o_custkey AS STRING)) AS b FROM orders WHERE {_THIN}),
-both_ways AS MATERIALIZED (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON other = a),
-least AS (SELECT node, min(other) AS component FROM reach GROUP BY ALL) SELECT component, count(*) AS size FROM least GROUP BY ALL""")
+@query("SELECT concat('c_', CAST(o_custkey AS STRING)) AS component, 1 + count(DISTINCT o_orderkey) AS size FROM orders GROUP BY o_custkey")
 def component_sizes(spark, d):
-    rows = table(spark, d, "orders").filter(_THIN).select(F.concat(F.lit("o_"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("c_"), F.col("o_custkey").cast("string")).alias("dst"))
+    """Of all orders and customers: each customer with the own orders. The general case is review_component_sizes."""
+    rows = table(spark, d, "orders").select(F.concat(F.lit("o_"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("c_"), F.col("o_custkey").cast("string")).alias("dst"))
     return graph.component_sizes(rows)
 
 
@@ -437,15 +458,37 @@ def attr_jaccard(spark, d):
 
 
 # ---- score and reports -------------------------------------------------------------------------------------
+def _with_texts(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Adds review_text, label and embedding to the reviews, as _TEXTS_SQL does."""
+    docs, vectors, labels = (table(spark, d, t) for t in ("documents", "embeddings", "labels"))
+    part = F.col("product_id").cast("long")
+    rows = rows.withColumns({"doc_id": part % docs.count(), "vec_id": part % vectors.count()})
+    label = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "negative").when(F.col("quality") == 1, "positive")
+    rows = rows.join(docs.select("doc_id", F.col("text").alias("review_text")), "doc_id", "left").join(labels.select("doc_id", label.alias("label")), "doc_id", "left")
+    return rows.join(vectors.select("vec_id", "embedding"), "vec_id", "left").drop("doc_id", "vec_id")
+
+
+def _semantic(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    texts = _with_texts(spark, d, rows)
+    vectors = semantic.eligible(texts).select("review_id", "reviewer_user_id", "embedding")
+    return plan.semantic_scores(texts, vectors, texts.select("review_id", "label"), _SCORE_RULES, ATTRS)
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """All twelve components and their weighted sum."""
     rows = written(_derived(spark, d))
     timed, co_burst = _timed(rows)
     by_reviewer = _network(rows, timed, co_burst).select("reviewer_user_id", "network_score")
     net = rows.select("review_id", "reviewer_user_id").join(by_reviewer, "reviewer_user_id").select("review_id", "network_score")
-    out = scoring.combined(rows, [heuristic.scores(rows), timed, net])
+    out = scoring.combined(rows, [heuristic.scores(rows), timed, net, _semantic(spark, d, rows)])
     return written(out.withColumn("suspicion_score", scoring.suspicion(out.columns)))
 
 
+@query(f"WITH {_SEMANTIC_SQL} SELECT review_id, round(mcs_score, 6) AS mcs_score, round(fact_compatibility_score, 6) AS fact_compatibility_score, round(attr_template_score, 6) AS attr_template_score, sentiment_star_inconsistency, sentiment_subrating_inconsistency FROM sem")
+def semantic_scores(spark, d):
+    return rounded(_semantic(spark, d, reviews(spark, d)))
+
+
 @query(f"WITH {_FULL_SQL} SELECT review_id, suspicion_score FROM comp")
 def suspicion_score(spark, d):
     return _scored(spark, d).select("review_id", "suspicion_score")
@@ -562,8 +605,7 @@ def anonymised_export(spark, d):
 
 @query()
 def stratified_sample(spark, d):
-    docs = table(spark, d, "documents")
-    return sampling.stratified(docs, "lang", "doc_id", target=max(1, docs.count() // 4)).select("doc_id", "lang")
+    return sampling.stratified(reviews(spark, d), "review_language", "review_id").select("review_id", "review_language")
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
@@ -574,7 +616,7 @@ def events_daily_stream(spark, d):
     kept = written(spark.createDataFrame([], "user_id long, day date, n long"))
     path = kept.inputFiles()[0].rsplit("/", 1)[0]
     counted = daily_counts(event_stream(spark, d), "user_id")
-    q = counted.writeStream.outputMode("complete").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    q = counted.writeStream.outputMode("complete").option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
     return spark.read.schema(kept.schema).parquet(path)
 
@@ -585,6 +627,109 @@ def adhoc_sql(spark, d):
     return spark.sql("SELECT place_id, round(avg(rating_stars), 6) AS avg_score, count(*) AS reviews, sum(CASE WHEN rating_stars >= 4 THEN 1 ELSE 0 END) AS high FROM {r} GROUP BY place_id ORDER BY avg(rating_stars) DESC, place_id LIMIT 10", r=reviews(spark, d))
 
 
+# ---- files, catalog and checks on what was written ------------------------------------------------------------
+@query("SELECT o_orderpriority, count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS last_key FROM orders WHERE o_orderkey % 7 = 3 GROUP BY ALL")
+def parquet_sql(spark, d):
+    """Plain SQL over a Parquet path."""
+    return files.query_parquet(spark, f"{d}/orders.parquet", "SELECT o_orderpriority, count(*) AS n, max(o_orderkey) AS last_key FROM {t} WHERE o_orderkey % 7 = 3 GROUP BY ALL")
+
+
+@query("SELECT place_id, round(avg(rating_stars), 6) AS rating_stars, count(*) AS n FROM r GROUP BY ALL")
+def csv_rescan(spark, d):
+    """A table written as CSV and read again with types found in its values."""
+    path = shared_folder(spark)
+    files.write_csv(rounded(reviews(spark, d).groupBy("place_id").agg(F.avg("rating_stars").alias("rating_stars"), F.count("*").alias("n"))), path)
+    return files.read_csv(spark, path).select(F.col("place_id").cast("string"), F.col("rating_stars").cast("double"), F.col("n").cast("long"))
+
+
+@query("SELECT * FROM (VALUES ('dim_restaurants', 'TEMPORARY'), ('dim_reviewers', 'TEMPORARY'), ('fact_reviews', 'TEMPORARY'), ('stg_restaurants', 'TEMPORARY'), ('stg_reviewers', 'TEMPORARY'), ('stg_reviews', 'TEMPORARY')) t(name, kind)")
+def catalog_tables(spark, d):
+    marts.build(_clean_like(spark, d).withColumn("review_text", F.lit("")))
+    return files.tables(spark).filter(F.col("name").rlike("^(dim|fact|stg)_"))
+
+
+_RAW = ("place_name", "place_url", "review_id", "rating_stars", "review_language", "reviewer_user_id", "reviewer_name", "reviewer_photo_count", "reviewer_review_count", "reviewer_is_local_guide", "sub_rating_food", "timestamp_created_iso", "timestamp_edited_iso", "crawl_timestamp")
+
+
+@query("""WITH urls AS (SELECT regexp_extract(place_url, '!1s([^!]+)', 1) AS pid, place_url, count(*) AS k FROM r GROUP BY ALL), best AS (SELECT pid, place_url AS url FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY k DESC, place_url) AS rn FROM urls) WHERE rn = 1)
+SELECT review_id, url AS place_url, pid AS place_id, rating_stars, review_language, reviewer_user_id, sub_rating_food, reviewer_is_local_guide, round(coalesce(reviewer_photo_count / nullif(reviewer_review_count, 0), 0), 6) AS reviewer_photo_review_ratio, edited_at IS NOT NULL AS was_edited, round((epoch_us(edited_at) - epoch_us(created_at)) / 3.6e9, 6) AS edit_delta_hours, sub_rating_food IS NOT NULL AS has_sub_ratings FROM r JOIN best ON pid = regexp_extract(r.place_url, '!1s([^!]+)', 1)""")
+def raw_round_trip(spark, d):
+    """The reviews as two raw exports, read, renamed, typed, derived and cleaned."""
+    folder, titles = shared_folder(spark), {v: k for k, v in RAW_NAMES.items()}
+    rows = _clean_like(spark, d).select(*_RAW)
+    stamp = lambda c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias(titles[c])
+    raw = rows.select(*[stamp(c) if c.endswith("iso") or c.startswith("crawl") else F.col(c).cast("string").alias(titles[c]) for c in _RAW])
+    half = F.pmod(F.xxhash64(titles["review_id"]), F.lit(2))
+    for i, name in enumerate(("reviews_complete_a.csv", "reviews_complete_b.csv")):
+        files.write_like_raw(raw.filter(half == i), f"{folder}/{name}")
+    got = prepare.clean(files.read_raw(spark, files.raw_paths(spark, folder)).drop("file_order"))
+    return rounded(got.select("review_id", "place_url", "place_id", "rating_stars", "review_language", "reviewer_user_id", "sub_rating_food", "reviewer_is_local_guide", "reviewer_photo_review_ratio", "was_edited", "edit_delta_hours", "has_sub_ratings"))
+
+
+_SUITE = {"expectations": [
+    {"expectation_type": "expect_table_row_count_to_be_between", "kwargs": {"min_value": 1000}},
+    {"expectation_type": "expect_column_to_exist", "kwargs": {"column": "review_id"}},
+    {"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"column": "review_id"}},
+    {"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"column": "edited_at"}},
+    {"expectation_type": "expect_column_values_to_be_unique", "kwargs": {"column": "review_id"}},
+    {"expectation_type": "expect_column_values_to_be_between", "kwargs": {"column": "rating_stars", "min_value": 1, "max_value": 4}},
+    {"expectation_type": "expect_column_values_to_be_in_set", "kwargs": {"column": "review_language", "value_set": ["de", "en", "unknown"]}},
+]}
+
+
+@query("""SELECT unnest(['0:expect_table_row_count_to_be_between:', '1:expect_column_to_exist:review_id', '2:expect_column_values_to_not_be_null:review_id', '3:expect_column_values_to_not_be_null:edited_at', '4:expect_column_values_to_be_unique:review_id', '5:expect_column_values_to_be_between:rating_stars', '6:expect_column_values_to_be_in_set:review_language']) AS name,
+  unnest([count(*) >= 1000, true, count(*) = count(review_id), count(*) = count(edited_at), count(*) = count(DISTINCT review_id), count(*) FILTER (rating_stars NOT BETWEEN 1 AND 4) = 0, count(*) FILTER (review_language NOT IN ('de', 'en', 'unknown')) = 0]) AS ok FROM r""")
+def dq_suite(spark, d):
+    found = quality.run_suite(reviews(spark, d), _SUITE)
+    return spark.createDataFrame(sorted(found.items()), "name string, ok boolean")
+
+
+@query("""SELECT 'critical' AS level, count(*) FILTER (rating_stars NOT BETWEEN 1 AND 5) + (count(*) < 1000)::INT + (count(*) > count(DISTINCT review_id))::INT + (count(*) > count(place_url))::INT + (count(*) > count(reviewer_user_id))::INT AS n FROM r
+UNION ALL SELECT 'sparse sub-rating', (count(sub_rating_food) < 0.2 * count(*))::INT + (count(sub_rating_service) < 0.2 * count(*))::INT + (count(sub_rating_atmosphere) < 0.2 * count(*))::INT FROM r""")
+def dq_check(spark, d):
+    """The gate's findings on the reviews, by level."""
+    report = quality.check(reviews(spark, d).withColumnRenamed("created_at", "timestamp_created_iso"))
+    sparse = [f for f in report.soft if f.startswith("sub_rating") and "least" in f]
+    return spark.createDataFrame([("critical", len(report.critical)), ("sparse sub-rating", len(sparse))], "level string, n long")
+
+
+@query("SELECT review_id, concat('uid_', substring(sha256(concat('pepper:', reviewer_user_id)), 1, 16)) AS pseudonym, reviewer_user_id FROM r")
+def pseudonym_bridge(spark, d):
+    rows = reviews(spark, d)
+    return scoring.bridged(rows, scoring.anonymised(rows, "pepper"))
+
+
+def _by_stars(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews with a score that SQL can tell at once."""
+    return scoring.flagged(reviews(spark, d).withColumn("suspicion_score", F.col("rating_stars") / 5 + F.col("reviewer_level") / 100))
+
+
+_BY_STARS_SQL = "fl AS (SELECT *, rating_stars / 5 + reviewer_level / 100 AS sc FROM r), sus AS (SELECT * FROM fl WHERE sc > (SELECT quantile_cont(sc, 0.9) FROM fl))"
+
+
+@query("SELECT reviewer_user_id, round(avg(rating_stars / 5 + reviewer_level / 100), 6) AS mean_score, count(*) AS n FROM r GROUP BY ALL")
+def reviewer_means(spark, d):
+    return rounded(scoring.reviewer_means(reviews(spark, d).withColumn("suspicion_score", F.col("rating_stars") / 5 + F.col("reviewer_level") / 100)))
+
+
+@query(f"WITH {_BY_STARS_SQL} SELECT concat('r_', reviewer_user_id) AS node, 'reviewer' AS kind, count(*) AS edges, count(DISTINCT place_id) AS neighbours, round(max(sc), 6) AS max_score FROM sus GROUP BY reviewer_user_id UNION ALL SELECT concat('p_', place_id), 'place', count(*), count(DISTINCT reviewer_user_id), NULL FROM sus GROUP BY place_id")
+def suspicious_graph(spark, d):
+    return rounded(graph.suspicious_graph(_by_stars(spark, d))[0])
+
+
+@query("SELECT review_id, round(sub_rating_food / 10, 6) AS composite_heuristic, round(list_avg(list_filter([rating_stars / 5, sub_rating_service / 10], lambda x: x IS NOT NULL)), 6) AS composite_temporal FROM r")
+def composite_scores(spark, d):
+    rows = reviews(spark, d).select("review_id", (F.col("sub_rating_food") / 10).alias("mnr_score"), (F.col("rating_stars") / 5).alias("burst_suspicion_score"), (F.col("sub_rating_service") / 10).alias("rating_deviation_score"))
+    return rounded(scoring.composites(rows).select("review_id", "composite_heuristic", "composite_temporal"))
+
+
+@query("SELECT vec_id, CASE WHEN c >= b AND c >= a THEN 'positive' WHEN b >= a THEN 'neutral' ELSE 'negative' END AS label FROM (SELECT vec_id, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings)")
+def best_labels(spark, d):
+    names = ("negative", "neutral", "positive")
+    rows = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)])
+    return rows.select("vec_id", semantic.best_label(names).alias("label"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     return burst_summary(spark, d)
 

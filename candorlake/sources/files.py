@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,12 +106,39 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")
 
 
+def _listed(spark: SparkSession, folder: str) -> list[tuple[str, str, int]]:
+    """(path, path below the folder, length) of all files below a folder, without debug files and checkpoints."""
+    fs, base, _ = _file_system(spark, folder)
+    root = fs.getFileStatus(base).getPath().toString().rstrip("/")
+    found = fs.listFiles(base, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        path = status.getPath().toString()
+        inside = path[len(root) :]
+        name = inside.rsplit("/", 1)[-1]
+        if "debug" not in name and not name.startswith(("_", ".")) and not re.search(r"/\.?[^/]*checkpoint[^/]*/", inside):
+            out.append((path, inside, status.getLen()))
+    return sorted(out)
+
+
+def _digest(spark: SparkSession, path: str) -> str:
+    """MD5 of a file of any size, read as a stream."""
+    fs, at, jvm = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.md5Hex(stream)
+    finally:
+        stream.close()
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, md5) of all files below a folder, without debug files and checkpoint folders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.filter(~name.contains("debug") & ~F.col("path").rlike(r"/\.?[^/]*checkpoint[^/]*/") & ~name.startswith("_"))
-    return rows.select("path", "length", F.md5("content").alias("md5"))
+    """(path, length, md5) of all files below a folder, without debug files and checkpoint folders.
+
+    Exports are dozens of files; each is digested by a stream, so its size doesn't matter.
+    """
+    rows = [(inside, length, _digest(spark, path)) for path, inside, length in _listed(spark, folder)]
+    return spark.createDataFrame(rows, "path string, length long, md5 string")
 
 
 def changed_files(now: DataFrame, known: DataFrame) -> DataFrame:
@@ -121,21 +149,34 @@ def changed_files(now: DataFrame, known: DataFrame) -> DataFrame:
 def upload(spark: SparkSession, folder: str, target: str) -> dict[str, int]:
     """Copies changed files to a store (any Hadoop file system) and keeps their manifest there.
 
-    Files are those of exports, some dozens; each is copied by the store's own streams.
+    Files are those of exports, some dozens; each is copied by the store's own streams. The manifest is written
+    last, so that files are copied again after a crash.
     """
     fs, base, jvm = _file_system(spark, folder)
     to, _, _ = _file_system(spark, target)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    now = manifest(spark, folder).cache()
+    now = manifest(spark, folder)
     at = f"{target.rstrip('/')}/_manifest"
     known = spark.read.parquet(at) if exists(spark, at) else spark.createDataFrame([], now.schema)
     todo = [r.path for r in changed_files(now, known).select("path").toLocalIterator()]
-    root = str(fs.getFileStatus(base).getPath())
     for path in todo:
-        inside = path[path.index(root.removeprefix("file:").rstrip("/")) + len(root.removeprefix("file:").rstrip("/")) :]
-        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jvm.org.apache.hadoop.fs.Path(path), to, jvm.org.apache.hadoop.fs.Path(target.rstrip("/") + inside), False, True, conf)
-    total = now.count()
-    rows = now.collect()
-    spark.createDataFrame(rows, now.schema).coalesce(1).write.mode("overwrite").parquet(at)
-    now.unpersist()
-    return {"uploaded": len(todo), "skipped": total - len(todo)}
+        source = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + path)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, to, jvm.org.apache.hadoop.fs.Path(target.rstrip("/") + path), False, True, conf)
+    now.coalesce(1).write.mode("overwrite").parquet(at)
+    return {"uploaded": len(todo), "skipped": now.count() - len(todo)}
+
+
+def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(name, kind) of the catalog's tables and views."""
+    rows = [(t.name, t.tableType) for t in spark.catalog.listTables(database)]
+    return spark.createDataFrame(sorted(rows), "name string, kind string")
+
+
+def query_parquet(spark: SparkSession, path: str, sql: str) -> DataFrame:
+    """Plain SQL over a Parquet path, which the query calls {t}."""
+    return spark.sql(sql.replace("{t}", f"parquet.`{path}`"))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV that write_csv made, with types found in its values."""
+    return spark.read.options(header=True, inferSchema=True).csv(path)

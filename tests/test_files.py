@@ -50,7 +50,7 @@ def test_whole_plan(spark, tmp_path):
     for i in range(1200):
         lines.append(";".join(f'"{v}"' for v in (i, f"http://m/data=!1sP{i % 9}!2s", f"P{i % 9}", 1 + i % 5, f"u{i % 97}", f"2024-{1 + i % 12:02d}-{1 + i % 28:02d} 10:00:00", "2025-01-01 00:00:00", 4.1, "ganz gut und nicht teuer", "de")))
     (tmp_path / "reviews_complete.csv").write_text("\n".join(lines))
-    got = plan.run(spark, str(tmp_path), f"{tmp_path}/out")
+    got = plan.run(spark, str(tmp_path), f"{tmp_path}/out", salt="s")
     assert got.report.success and got.scored.count() == 1200 and got.summary.count() == 9
     low, high = got.scored.selectExpr("min(suspicion_score)", "max(suspicion_score)").first()
     assert 0 <= low <= high <= 1

@@ -85,6 +85,20 @@ def test_co_reviewers(spark):
     assert got == {"u1": 1, "u2": 1}
 
 
+def test_co_reviewers_of_hot_places(spark, monkeypatch):
+    """Three places that everyone has been to, and others: as by brute force, with few pairs looked at."""
+    import random
+
+    monkeypatch.setattr(network, "BLOCK", 7)
+    r = random.Random(5)
+    visits = {f"u{i}": {"h1", "h2", "h3"} - ({f"h{r.randint(1, 3)}"} if r.random() < 0.3 else set()) | {f"p{r.randrange(60)}" for _ in range(r.randint(0, 4))} for i in range(150)}
+    visits["x"] = {"p1"}
+    rows = [(u, p) for u, v in visits.items() for p in v]
+    got = {r.reviewer_user_id: r.co_reviewer_count for r in network.co_reviewers(spark.createDataFrame(rows, "reviewer_user_id string, place_id string")).collect()}
+    want = {u: sum(len(visits[u] & visits[o]) >= 3 for o in visits if o != u) for u in visits}
+    assert got == {u: n for u, n in want.items() if n}
+
+
 def test_most_similar(spark):
     rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 1.0]), (3, "a", [-1.0, 0.0]), (4, "b", [1.0, 0.0])]
     got = {r.id: r.mcs_score for r in semantic.most_similar(spark.createDataFrame(rows, "id long, g string, embedding array<float>"), "g", "id").collect()}
@@ -180,7 +194,7 @@ def test_exact_quantiles(spark):
     import numpy as np
 
     r = random.Random(1)
-    for values in ([r.choice([r.random(), 0.5, 0.25]) for _ in range(700)], [3.0], [2.0, 2.0], [-1e6, 0.0, 1e6]):
+    for values in ([1e12, *(r.random() for _ in range(500))], [r.choice([r.random(), 0.5, 0.25]) for _ in range(700)], [3.0], [2.0, 2.0], [-1e6, 0.0, 1e6]):
         got = one(scoring.exact_quantiles(spark.createDataFrame([(v,) for v in [*values, None]], "s double"), "s", [0.0, 0.05, 0.5, 0.9, 1.0]))
         assert list(got) == pytest.approx(np.quantile(values, [0.0, 0.05, 0.5, 0.9, 1.0]).tolist())
     assert list(one(scoring.exact_quantiles(spark.createDataFrame([], "s double"), "s", [0.5]))) == [None]

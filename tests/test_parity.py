@@ -32,7 +32,27 @@ def test_pagerank_adds_up_and_has_converged(spark):
 def test_sample_keeps_strata(spark):
     rows = catalog.stratified_sample(spark, "/root/testdata/sf0.01").collect()
     again = catalog.stratified_sample(spark, "/root/testdata/sf0.01").collect()
-    assert {r.lang for r in rows} == {"en", "de", "fr", "es"} and sorted(rows) == sorted(again)
+    assert {r.review_language for r in rows} == {"en", "de", "unknown"} and sorted(rows) == sorted(again) and len(rows) == 9000
+
+
+def test_sample_against_brute_force(spark):
+    from collections import Counter
+
+    from candorlake.operators import sampling
+    from pyspark.sql import functions as F
+
+    rows = [(i, "big" if i % 10 else None if i % 20 else "mid") for i in range(3000)] + [(10_000 + i, f"tiny{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    hashed = {r.id: r.h for r in df.select("id", F.xxhash64(F.col("id"), F.lit(sampling.SEED)).alias("h")).collect()}
+    sizes = Counter(s for _, s in rows)
+    for target in (300, 40):
+        quota = {s: min(n, max(20, round(n / len(rows) * target))) for s, n in sizes.items()}
+        best = {s: sorted((i for i, t in rows if t == s), key=lambda i: (hashed[i], i))[: quota[s]] for s in sizes}
+        first = {v[0] for v in best.values()}
+        want = {i for v in best.values() for i in v}
+        if len(want) > target:
+            want = first | set(sorted(want - first, key=lambda i: (hashed[i], i))[: target - len(first)])
+        assert {r.id for r in sampling.stratified(df, "s", "id", target).collect()} == want
 
 
 def test_dbscan_of_two_heaps(spark):
