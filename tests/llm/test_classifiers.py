@@ -146,3 +146,16 @@ def test_shingles():
 def test_short_sets_differ_from_longer_ones(text):
     a, b = shingle_sets([text.encode(), (text + " f").encode()])
     assert a.tolist() != b.tolist()
+
+
+def test_lowest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from candorlake.llm.common import lowest_hashes
+
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 90 == 0, "rare").otherwise("mid").alias("k"))
+    places = {}
+    for r in rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).collect():
+        places.setdefault(r.k, []).append((r.h, r.doc_id))
+    got = {(r.doc_id, r.k) for r in lowest_hashes(rows, "k", 50).collect()}
+    assert got == {(i, k) for k, v in places.items() for _, i in sorted(v)[:50]}
