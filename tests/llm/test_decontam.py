@@ -39,6 +39,34 @@ def test_search_equals_brute_force():
     assert {(d, s, u): round(x, 9) for d, s, u, x in index.search(lists)} == want and len(want) > 40
 
 
+def test_weights_are_bm25():
+    """The index's weights against the formula, from plain counts of the texts."""
+    import math
+    import re
+
+    r = random.Random(9)
+    items = [(i, made(r, r.choice([5, 64, 70, 200]))) for i in range(25)]
+    index = index_of(items)
+    units = [w[i : i + 64] for _, t in sorted(items, key=lambda x: (str(x[0]), x[1])) for w in [re.findall(r"\w+", t.lower())] for i in range(0, len(w), 64)]
+    mean = sum(map(len, units)) / len(units)
+    df = Counter(t for u in units for t in set(u))
+    want = {}
+    for k, u in enumerate(units):
+        of = {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(u) / mean)) for t, n in Counter(u).items()}
+        want |= {(k, t): w / sum(of.values()) for t, w in of.items()}
+    terms = {v: k for k, v in index.vocabulary.items()}
+    got = {(int(index.unit[p]), terms[int(index.cells[c]) // index.n_blocks]): float(index.weight[p]) for c in range(len(index.cells)) for p in range(index.cell_start[c], index.cell_start[c + 1])}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_clean_keeps_rows_as_they_are(spark, odd, empty):
+    items = spark.createDataFrame([("a", "the quick brown fox jumps over the lazy dog"), ("b", None)], "item_id string, text string")
+    for chars in (decontam.ITEM_CHARS, 20):
+        got = decontam.clean(odd, items, chars)
+        assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(str(r) for r in odd.collect() if r.doc_id not in (5, 6))
+    assert decontam.clean(empty, items).collect() == [] and decontam.clean(odd, items.filter("false")).count() == odd.count()
+
+
 def test_planted(spark):
     r = random.Random(6)
     items = [(100 + i, ". ".join(made(r, n).capitalize() for n in ([12, 9] if i % 2 else [25])) + ".") for i in range(30)] + [(900, None), (901, ""), (902, "..."), (110, made(r, 14))]
