@@ -15,9 +15,11 @@
    they collide often enough, most collisions first. A link joins two components, and their other pairs
    are passed over, so a block reports fewer links than it has nodes. A pair that shares several
    lists is looked at in the first of them.
-6. Lists of more than one block that are still open: every block of their largest component meets the
-   nodes outside it, and those meet each other, likewise. So no link between components is lost, no
-   task holds a whole list, and what is written grows with the nodes, not with their pairs.
+6. Lists of more than one block that are still open: a node can be linked to another component only if
+   enough of its shingles occur in other components of such lists too. Texts around a common passage, and
+   copies that have found each other, drop out here. For the nodes left, every block of a list's
+   largest component meets the nodes outside it, and those meet each other, likewise. So no link between
+   components is lost, no task holds a whole list, and rows are written for blocks, not for pairs.
 
 Edge cases: null text, empty text and text without a word have no shingles, stay alone and are kept;
 repeated rows are exact copies; a null doc_id counts as larger than any id; an empty table gives an
@@ -102,6 +104,28 @@ def _traits(prefix: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
+@lean("neardup")
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp, set) -> (shingle, node, comp, size of the set), a row for each shingle."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+            for at in range(0, len(own), 100_000):
+                part = own[at : at + 100_000]
+                fixed = (np.full(len(part), v, np.int64) for v in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, fixed)], ["shingle", "node", "comp", "size"])
+
+
+def _across(placed: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """The nodes of rows (node, comp) that may be linked to another component: a link needs percent of the union,
+    so of each side's shingles, in common, and all of these then occur in two components."""
+    sets = placed.select("node", "comp").distinct().join(traits.select("node", "shingles"), "node")
+    each = sets.select("node", "comp", "shingles").mapInArrow(_shingles, "shingle long, node long, comp long, size long")
+    common = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
+    counted = each.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    return counted.filter(100 * F.col("n") >= percent * F.col("size")).select("node")
+
+
 def _linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
     """Which of the other sets are similar enough to x; all sorted and without repeats."""
     sizes = np.array([len(o) for o in others])
@@ -222,8 +246,13 @@ def _matcher(matches: int, percent: int):
 def _placed(prefix: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, node, comp) of all prefix lists, and (token, n) of those with several components."""
     placed = prefix.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
+    return placed, _several(placed)
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """(token, n) of the lists with several components."""
     still = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high")
-    return placed, still.select("token", "n")
+    return still.select("token", "n")
 
 
 def _against_main(placed: DataFrame) -> DataFrame:
@@ -288,7 +317,10 @@ def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     used += [links, roots]
 
     placed, still = _placed(prefix, roots)
-    dealt = _against_main(placed.join(still.filter(F.col("n") > BLOCK), "token"))
+    large = stored(placed.join(still.filter(F.col("n") > BLOCK).select("token"), "token"))
+    able = stored(large.join(_across(large, traits, percent), "node", "left_semi").select("token", "node", "comp"))
+    used += [large, able]
+    dealt = _against_main(able.join(_several(able), "token"))
     links = _compared(dealt, traits, matches, percent)
     roots = rooted(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 

@@ -66,6 +66,46 @@ def test_groups_of_copies(spark, block, percent, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent) == brute(rows, percent)
 
 
+def test_nodes_that_reach_no_other_component(spark):
+    """Only sets with enough shingles of other components are compared further; repeats in the own one don't count."""
+    import numpy as np
+
+    common = list(range(70))
+    sets = {i: common + list(range(1000 * i, 1000 * i + 30)) for i in range(1, 6)}  # a common passage of 70 %
+    sets |= {6: sets[5], 7: common + list(range(9000, 9015)), 8: common + list(range(9000, 9014))}  # 6 is 5's copy
+    comp = {6: 5}
+    rows = [(i, comp.get(i, i), np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    rows += [(9, 9, np.array([2**64 - 1], np.uint64).tobytes()), (10, 10, rows[0][2])]
+    placed = spark.createDataFrame([(t, n, c) for t in (1, 2) for n, c, _ in rows], "token long, node long, comp long")
+    traits = spark.createDataFrame([(n, s) for n, _, s in rows], "node long, shingles binary")
+    able = lambda percent: sorted(r.node for r in neardup._across(placed, traits, percent).collect())
+    assert able(85) == [1, 7, 8, 10]
+    assert able(70) == [1, 2, 3, 4, 5, 6, 7, 8, 10]
+    assert able(100) == [1, 8, 10]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_common_passage(spark, percent, monkeypatch):
+    """Lists far larger than a block: pairs of copies and single texts around one passage, and passages that make
+    up nearly a whole text; the same groups as brute force, by the broadcast and by the shuffle."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", 0 if percent == 80 else 1000)
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(140)]
+    texts = []
+    for i in range(120):
+        own = [word() for _ in range(r.choice([5, 15, 20, 25, 40, 60, 60]))]
+        texts.append(passage + own)
+        if i % 3 == 0:
+            twin = passage + own
+            twin[r.randrange(len(twin))] = word()
+            texts.append(twin)
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent) == brute(rows, percent)
+
+
 def test_odd(spark, odd, empty):
     assert found(odd) == brute([(r.doc_id, r.text) for r in odd.collect()], 85)
     assert found(empty) == []
