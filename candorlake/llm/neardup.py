@@ -80,25 +80,24 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 @lean("profiles")
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, set_key) -> (node, set): leaves out rows whose set isn't the node's."""
+    """(node, text) -> (node, set)."""
     for batch in batches:
-        keys = batch.column(2).to_pylist()
-        at = 0
         for nodes, texts in rows_of(batch):
-            sets = shingle_sets(texts)
-            fit = [i for i, s in enumerate(sets) if xxhash.xxh3_128_digest(s.tobytes()) == keys[at + i]]
-            at += len(nodes)
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in fit], pa.int64()), pa.array([sets[i].tobytes() for i in fit], pa.binary())], ["node", "shingles"])
+            sets = [s.tobytes() for s in shingle_sets(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
 def _traits(prefix: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, signature, prefix, shingles) of the nodes in prefix lists, as a stored table."""
+    """(node, signature, prefix, shingles) of the nodes in prefix lists, as a stored table.
+
+    A node's text is found by the digest of one of its rows: an id, null say, may stand for any number of texts.
+    """
     tokens = prefix.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
-    wanted = stored(nodes.join(tokens, "node").select("node", "signature", "prefix", "set_key", "least_id"))
+    wanted = stored(nodes.join(tokens, "node").select("node", "signature", "prefix", "row_key"))
     few = wanted.count() <= BROADCAST_NODES
-    key = wanted.select("node", "set_key", "least_id")
-    texts = docs.join(F.broadcast(key) if few else key, F.col("doc_id").eqNullSafe(F.col("least_id")))
-    sets = texts.select("node", "text", "set_key").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    key = wanted.select("node", "row_key")
+    texts = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).join(F.broadcast(key) if few else key, "row_key")
+    sets = texts.select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
     found = stored(wanted.join(sets, "node").select("node", "signature", "prefix", "shingles"))
     discard(wanted)
     return found
@@ -289,7 +288,7 @@ def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     docs = id_and_text(docs)
     matches = least_matches(percent)
     rows = stored(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, set_key binary, signature array<int>, row_key binary"))
-    nodes = stored(rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = stored(rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("signature").alias("signature"), F.first("row_key").alias("row_key")).withColumn("node", F.monotonically_increasing_id()))
 
     posted = nodes.select("node", F.posexplode("signature").alias("at", "value")).select("node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("token"))
     frequency = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")

@@ -106,6 +106,28 @@ def test_common_passage(spark, percent, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent) == brute(rows, percent)
 
 
+@pytest.mark.parametrize("nodes", [0, 1000])
+def test_one_id_for_many_texts(spark, nodes, monkeypatch):
+    """Each node is looked up by one row of its own: rows without an id, or with one id, don't meet each other."""
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", nodes)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield from plain(iter([batch]))
+
+    plain = neardup._sets
+    monkeypatch.setattr(neardup, "_sets", counted)
+    r = random.Random(12)
+    rows = []
+    for i in range(150):
+        t = [f"u{r.randrange(5000)}" for _ in range(60)]
+        rows += [(None if i % 2 else 3, " ".join(t)), (None if i % 3 else 4, " ".join(t[:-1] + ["other"]))]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows, 85)
+    assert 300 <= seen.value < 400
+
+
 def test_odd(spark, odd, empty):
     assert found(odd) == brute([(r.doc_id, r.text) for r in odd.collect()], 85)
     assert found(empty) == []
