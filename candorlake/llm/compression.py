@@ -101,9 +101,12 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, known: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, int, str]]:
-    """(doc_id, label, text) of a bounded sample of rows (doc_id, label); of a longer text up to WHOLE characters."""
+    """(doc_id, label, text) of a bounded sample of rows (doc_id, label); of a longer text up to WHOLE characters.
+
+    Of rows that share an id one is taken."""
     chosen = lowest_hashes(known, "label", 2 * per_class)
     rows = id_and_text(docs).filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.substring("text", 1, WHOLE).alias("text"))
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return sorted((r.doc_id, r.label, r.text) for r in rows.collect())
 
 

@@ -5,7 +5,7 @@ a softmax layer turns the features into probabilities of languages (see bytenet)
 windows that together cover all of it; the mean of their probabilities, by length, decides.
 
 Training takes at most DOCS_PER_LANGUAGE documents of each language, those with the smallest hash
-of their id, and WINDOWS_PER_DOCUMENT windows evenly spread over each that has a letter; the driver holds a few MB.
+of their id, and WINDOWS_PER_DOCUMENT windows evenly spread over each that has a letter; the driver holds a few MB. Of rows that share id and language one is taken.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a text shorter than a window
 is filled up with spaces; without any labelled text all are ``und``; repeated rows and null ids are rows
@@ -69,11 +69,12 @@ def _bytes(text: str) -> np.ndarray:
 def training_windows(docs: DataFrame, learn: Column, per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Windows of text and their languages, from a bounded sample of the rows where ``learn`` holds."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = lowest_hashes(rows.select("doc_id", "lang"), "lang", per_language).distinct()
+    chosen = lowest_hashes(rows.select("doc_id", "lang"), "lang", per_language)
     rows = rows.filter(F.col("text").rlike(r"\p{L}"))
     ends = F.greatest(F.length("text") - WINDOW, F.lit(0))
     pieces = [F.substring("text", (ends * (i / max(1, WINDOWS_PER_DOCUMENT - 1))).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_PER_DOCUMENT)]
-    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "doc_id", F.explode(F.array_distinct(F.array(*pieces))).alias("piece"))
+    own = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min(F.array_distinct(F.array(*pieces))).alias("pieces"))
+    found = own.select("lang", "doc_id", F.explode("pieces").alias("piece"))
     found = sorted((r.lang, r.doc_id, r.piece) for r in found.collect())
     return [r[2] for r in found], [r[0] for r in found]
 

@@ -159,3 +159,18 @@ def test_lowest_hashes(spark):
         places.setdefault(r.k, []).append((r.h, r.doc_id))
     got = {(r.doc_id, r.k) for r in lowest_hashes(rows, "k", 50).collect()}
     assert got == {(i, k) for k, v in places.items() for _, i in sorted(v)[:50]}
+
+
+def test_samples_take_repeated_rows_once(spark):
+    """One row that fills a third of the table doesn't reach the driver more than once."""
+    from pyspark.sql import functions as F
+
+    from candorlake.llm import compression, langid
+
+    hot = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a text that is repeated").alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(10, 20).select(F.col("id").alias("doc_id"), F.concat(F.lit("another text "), "id").alias("text"), F.lit("de").alias("lang"))
+    docs = hot.unionByName(more)
+    windows, languages = langid.training_windows(docs, F.lit(True))
+    assert sorted(set(zip(languages, windows))) == sorted(zip(languages, windows)) and len(windows) == 11
+    known = docs.select("doc_id", (F.col("lang") == "en").cast("int").alias("label")).distinct()
+    assert sorted(r[0] for r in compression.sample(docs, known)) == [1, *range(10, 20)]
