@@ -87,18 +87,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by sort and merge, for sides whose size Spark takes for far less than it is.
+
+    It goes by the bytes of compressed files, shared out by the types of columns: to it an exploded array of 64 is
+    one row, an array one value, and what copies have in common takes no room. A join left to that guess sends the
+    whole side through the driver, however large.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _traits(prefix: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, signature, prefix, shingles) of the nodes in prefix lists, as a stored table.
 
     A node's text is found by the digest of one of its rows: an id, null say, may stand for any number of texts.
     """
     tokens = prefix.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
-    wanted = stored(nodes.join(tokens, "node").select("node", "signature", "prefix", "row_key"))
+    wanted = stored(_merged(nodes, tokens, "node").select("node", "signature", "prefix", "row_key"))
     few = wanted.count() <= BROADCAST_NODES
     key = wanted.select("node", "row_key")
-    texts = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).join(F.broadcast(key) if few else key, "row_key")
+    texts = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).join(F.broadcast(key) if few else key.hint("merge"), "row_key")
     sets = texts.select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
-    found = stored(wanted.join(sets, "node").select("node", "signature", "prefix", "shingles"))
+    found = stored(_merged(wanted, sets, "node").select("node", "signature", "prefix", "shingles"))
     discard(wanted)
     return found
 
@@ -118,10 +128,10 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(placed: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """The nodes of rows (node, comp) that may be linked to another component: a link needs percent of the union,
     so of each side's shingles, in common, and all of these then occur in two components."""
-    sets = placed.select("node", "comp").distinct().join(traits.select("node", "shingles"), "node")
+    sets = _merged(placed.select("node", "comp").distinct(), traits.select("node", "shingles"), "node")
     each = sets.select("node", "comp", "shingles").mapInArrow(_shingles, "shingle long, node long, comp long, size long")
     common = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
-    counted = each.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    counted = _merged(each, common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     return counted.filter(100 * F.col("n") >= percent * F.col("size")).select("node")
 
 
@@ -151,7 +161,7 @@ def _colliding(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     x = nodes.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     y = nodes.select(F.col("node").alias("b"), F.col("signature").alias("y"))
     agree = F.aggregate(F.zip_with("x", "y", lambda i, j: (i == j).cast("int")), F.lit(0), lambda s, v: s + v)
-    return pairs.join(x, "a").join(y, "b").filter(agree >= matches).select("a", "b")
+    return _merged(_merged(pairs, x, "a"), y, "b").filter(agree >= matches).select("a", "b")
 
 
 class _Union(dict):
@@ -276,7 +286,7 @@ def _against_main(placed: DataFrame) -> DataFrame:
 
 def _compared(dealt: DataFrame, traits: DataFrame, matches: int, percent: int) -> DataFrame:
     """Links (a, b) found in groups of rows (token, x, y, main, block, node, comp)."""
-    rows = dealt.join(traits, "node").select("token", "x", "y", "main", "block", "node", "comp", "signature", "prefix", "shingles")
+    rows = _merged(dealt, traits, "node").select("token", "x", "y", "main", "block", "node", "comp", "signature", "prefix", "shingles")
     return stored(rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_matcher(matches, percent), "a long, b long"))
 
 
@@ -293,17 +303,18 @@ def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     posted = nodes.select("node", F.posexplode("signature").alias("at", "value")).select("node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("token"))
     frequency = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     of_node = Window.partitionBy("node")
-    shared = posted.join(frequency, "token").withColumns({"rank": F.row_number().over(of_node.orderBy("df", "token")), "n": F.count("*").over(of_node)})
+    shared = _merged(posted, frequency, "token").withColumns({"rank": F.row_number().over(of_node.orderBy("df", "token")), "n": F.count("*").over(of_node)})
     prefix = stored(shared.filter((F.col("n") >= matches) & (F.col("rank") <= F.col("n") - matches + 1)).select("token", "node"))
 
     listed = prefix.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    every, prefix = prefix, stored(prefix.join(listed, "token"))
+    every, prefix = prefix, stored(_merged(prefix, listed, "token"))
     discard(every)
     traits = _traits(prefix, nodes, docs)
 
     pairs = prefix.select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     pairs = _colliding(pairs, nodes, matches)
-    both = pairs.join(traits.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(traits.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = _merged(pairs, traits.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = _merged(both, traits.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long")
     roots = stored(rooted(links))
     used = [prefix, traits, nodes, roots]
@@ -317,7 +328,7 @@ def _groups(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     placed, still = _placed(prefix, roots)
     large = stored(placed.join(still.filter(F.col("n") > BLOCK).select("token"), "token"))
-    able = stored(large.join(_across(large, traits, percent), "node", "left_semi").select("token", "node", "comp"))
+    able = stored(_merged(large, _across(large, traits, percent), "node", "left_semi").select("token", "node", "comp"))
     used += [large, able]
     dealt = _against_main(able.join(_several(able), "token"))
     links = _compared(dealt, traits, matches, percent)
@@ -350,12 +361,12 @@ def without_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     stays. Rows without a word stay.
     """
     rows, grouped = _groups(docs, percent)
-    placed = rows.filter("n_shingles > 0").join(grouped.select("set_key", "root"), "set_key")
+    placed = _merged(rows.filter("n_shingles > 0"), grouped.select("set_key", "root"), "set_key")
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_key").alias("key"))
     each = stored(placed.groupBy("row_key").agg(F.count("*").alias("n"), F.min("root").alias("root"), F.min(own).alias("row")))
     first = stored(each.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("row_key")))
-    lost = each.join(first, "row_key", "left_anti").select("row_key")
-    again = each.filter("n > 1").join(first, "row_key", "left_semi").select("row_key")
+    lost = _merged(each, first, "row_key", "left_anti").select("row_key")
+    again = _merged(each.filter("n > 1"), first, "row_key", "left_semi").select("row_key")
     name = "key_of_row"
     while name in docs.columns:
         name += "_"

@@ -128,6 +128,57 @@ def test_one_id_for_many_texts(spark, nodes, monkeypatch):
     assert 300 <= seen.value < 400
 
 
+def broadcasts(df):
+    """(columns, operators) of each broadcast in the plan that a frame starts with."""
+
+    def below(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from below(plan.children().apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    for node in below(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan):
+        if node.nodeName() == "BroadcastExchange":
+            names = [node.output().apply(i).name() for i in range(node.output().size())]
+            yield set(names), {x.nodeName() for x in below(node)}
+
+
+def pairs_of_copies():
+    r = random.Random(21)
+    rows = []
+    for i in range(40):
+        t = [f"u{r.randrange(5000)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(t[:-1] + ["other"]))]
+    return rows
+
+
+def seen_broadcasts(spark, monkeypatch):
+    """Gets the broadcasts of each table that is stored from now on; Spark's own threshold holds."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    seen, plain = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df: (seen.extend(broadcasts(df)), plain(df))[1])
+    return seen
+
+
+def assert_sizes_are_known(seen):
+    for names, operators in seen:
+        assert names.isdisjoint({"signature", "x", "y", "shingles", "prefix", "value", "shingle", "df"}), names
+        assert operators.isdisjoint({"Generate", "MapInArrow"}), operators
+
+
+@pytest.mark.parametrize("nodes", [0, 1000])
+def test_nothing_of_unknown_size_is_broadcast(spark, nodes, monkeypatch):
+    """Exploded signatures and sets, arrays and blobs look small to Spark: none goes through the driver, although all
+    these tables are below its threshold."""
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", nodes)
+    seen = seen_broadcasts(spark, monkeypatch)
+    rows = pairs_of_copies()
+    kept = neardup.without_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows, 80)})
+    assert any(names == {"node", "row_key"} for names, _ in seen) == (nodes > 0)
+    assert_sizes_are_known(seen)
+
+
 def test_odd(spark, odd, empty):
     assert found(odd) == brute([(r.doc_id, r.text) for r in odd.collect()], 85)
     assert found(empty) == []
