@@ -347,7 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     rows, grouped = _groups(docs, percent)
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_set = grouped.join(least, "root").select("set_key", "component_id")
+    of_set = _merged(grouped, least, "root").select("set_key", "component_id")
     out = rows.join(of_set, "set_key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

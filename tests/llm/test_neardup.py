@@ -179,6 +179,16 @@ def test_nothing_of_unknown_size_is_broadcast(spark, nodes, monkeypatch):
     assert_sizes_are_known(seen)
 
 
+def test_groups_are_not_broadcast(spark, monkeypatch):
+    """The same for the groups of all rows, which the result is made of."""
+    seen = seen_broadcasts(spark, monkeypatch)
+    rows = pairs_of_copies()
+    result = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert_sizes_are_known(seen)
+    assert [names for names, _ in broadcasts(result) if "root" in names] == []
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in result.collect()), key=str) == brute(rows, 85)
+
+
 def test_odd(spark, odd, empty):
     assert found(odd) == brute([(r.doc_id, r.text) for r in odd.collect()], 85)
     assert found(empty) == []
