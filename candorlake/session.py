@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table that joins may send to all tasks, some 60 bytes each.
+MOST_SENT = 500_000
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,6 +52,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """The frame, written; joins send it to all tasks if it has at most so many rows."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of frames made by written()."""
     for df in frames:
