@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candorlake.functions.exprs import clip01, holds, share
+from candorlake.session import sent
 
 WINDOW_DAYS, LEAST_DAYS = 14, 3
 Z_LIMIT, LEAST_REVIEWS = 2.5, 4
@@ -25,11 +26,16 @@ def daily(df: DataFrame, place: str = "place_id", ts: str = "created_at") -> Dat
 
 
 def calendar(days: DataFrame) -> DataFrame:
-    """All days from a place's first to its last, those without reviews with zeros."""
-    spans = days.groupBy("place").agg(F.min("day").alias("low"), F.max("day").alias("high"))
-    every = spans.select("place", F.explode(F.sequence("low", "high", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    filled = every.join(days, ["place", "day"], "left")
-    return filled.na.fill(0, [c for c in filled.columns if c not in ("place", "day")])
+    """All days from a place's first to its last, those without reviews with zeros.
+
+    Each day is followed by the empty ones before the place's next: no join, and the partitioning by place that bursts
+    need as well.
+    """
+    after = F.lead("day").over(Window.partitionBy("place").orderBy("day"))
+    every = F.sequence("day", F.coalesce(F.date_sub("after_", 1), "day"), F.expr("INTERVAL 1 DAY"))
+    own = F.col("place").isNotNull() & (F.col("each_") == F.col("day"))
+    rows = days.withColumn("after_", after).withColumn("each_", F.explode(every))
+    return rows.select("place", F.col("each_").alias("day"), *[F.coalesce(F.when(own, F.col(c)), F.lit(0).cast(kind)).alias(c) for c, kind in days.dtypes if c not in ("place", "day")])
 
 
 def bursts(dense: DataFrame) -> DataFrame:
@@ -55,8 +61,8 @@ def burst_days(df: DataFrame, place: str = "place_id", ts: str = "created_at") -
 
 
 def in_bursts(df: DataFrame, place: str = "place_id", ts: str = "created_at") -> DataFrame:
-    """Rows of burst days with place, day and burst_id. Burst days are few beside reviews."""
-    days = burst_days(df, place, ts).filter("is_burst").select("place", "day", "burst_id")
+    """Rows of burst days with place, day and burst_id. Burst days are few beside reviews, so these stay where they are."""
+    days = sent(burst_days(df, place, ts).filter("is_burst").select("place", "day", "burst_id"))
     return df.withColumns({"place": F.col(place), "day": F.to_date(ts)}).join(days, ["place", "day"])
 
 
@@ -117,6 +123,13 @@ def co_burst_reviewers(links: DataFrame) -> DataFrame:
     return links.join(co_burst_pairs(links), ["place_a", "burst_a", "place_b", "burst_b"], "left_semi").select(F.col("reviewer").alias("reviewer_user_id")).distinct()
 
 
+def flags(df: DataFrame, place: str = "place_id", ts: str = "created_at") -> DataFrame:
+    """(review_id, in_burst) for each row: of scores, the flag alone."""
+    days = sent(burst_days(df, place, ts).filter("is_burst").select("place", "day", F.lit(True).alias("in_burst")))
+    rows = df.select("review_id", F.col(place).alias("place"), F.to_date(ts).alias("day")).join(days, ["place", "day"], "left")
+    return rows.select("review_id", holds(F.col("in_burst")).alias("in_burst"))
+
+
 def scores(df: DataFrame, attributes: Sequence[str], place: str = "place_id", ts: str = "created_at", inside: DataFrame | None = None) -> DataFrame:
     """(review_id, in_burst, burst_suspicion_score, burst_attr_homogeneity, in_co_burst) for each row.
 
@@ -124,8 +137,8 @@ def scores(df: DataFrame, attributes: Sequence[str], place: str = "place_id", ts
     """
     inside = in_bursts(df, place, ts) if inside is None else inside
     windows = adjusted_windows(df, inside, attributes, place).select("place", "burst_id", "burst_suspicion_score", "homogeneity")
-    days = inside.select("place", "day", "burst_id").distinct().join(windows, ["place", "burst_id"])
-    flagged = co_burst_reviewers(co_burst_links(inside)).withColumn("in_co_burst", F.lit(True))
+    days = sent(inside.select("place", "day", "burst_id").distinct().join(windows, ["place", "burst_id"]))
+    flagged = sent(co_burst_reviewers(co_burst_links(inside)).withColumn("in_co_burst", F.lit(True)))
     rows = df.select("review_id", "reviewer_user_id", F.col(place).alias("place"), F.to_date(ts).alias("day")).join(days, ["place", "day"], "left").join(flagged, "reviewer_user_id", "left")
     return rows.select("review_id", F.col("burst_id").isNotNull().alias("in_burst"), F.coalesce("burst_suspicion_score", F.lit(0.0)).alias("burst_suspicion_score"), F.coalesce("homogeneity", F.lit(0.0)).alias("burst_attr_homogeneity"), holds(F.col("in_co_burst")).alias("in_co_burst"))
 
