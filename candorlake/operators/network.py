@@ -38,7 +38,8 @@ def reviewer_metrics(df: DataFrame, place: str = "place_id") -> DataFrame:
     even = 1 - F.stddev_pop("rating_stars") / 4
     missing = F.count("*") > F.count("rating_stars")
     evenness = F.when(F.count("*") < LEAST_EDGES, 0.5).when(missing, 0.0).otherwise(F.greatest(F.lit(0.0), even))
-    return df.groupBy("reviewer_user_id").agg(F.count_distinct(place).alias("degree"), F.count("*").alias("edge_count"), evenness.alias("rating_homogeneity"), share(F.col("rating_stars") == 5).alias("pct_five_star"), share(holds(F.col("in_burst"))).alias("burst_edge_ratio"))
+    rows = df.repartition("reviewer_user_id")  # moves rows, not a row of sums for each place of a reviewer
+    return rows.groupBy("reviewer_user_id").agg(F.count_distinct(place).alias("degree"), F.count("*").alias("edge_count"), evenness.alias("rating_homogeneity"), share(F.col("rating_stars") == 5).alias("pct_five_star"), share(holds(F.col("in_burst"))).alias("burst_edge_ratio"))
 
 
 def co_reviewers(df: DataFrame, place: str = "place_id") -> DataFrame:
