@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candorlake import schema
 from candorlake.functions.exprs import has_content, holds, ratio_or_zero, stripped
+from candorlake.session import sent
 
 
 def renamed(raw: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def canonical_urls(df: DataFrame) -> DataFrame:
 
 
 def with_canonical_urls(df: DataFrame) -> DataFrame:
-    return df.join(canonical_urls(df), "place_id", "left").withColumn("place_url", F.coalesce("canonical_url", "place_url")).drop("canonical_url")
+    return df.join(sent(canonical_urls(df)), "place_id", "left").withColumn("place_url", F.coalesce("canonical_url", "place_url")).drop("canonical_url")
 
 
 def ambiguous_places(df: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def read_raw(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
-def write_like_raw(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(sep=";", header=True, quoteAll=True, escape='"').csv(path)
+def write_like_raw(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.mode("overwrite").options(sep=";", header=True, quoteAll=True, escape='"', compression=compression).csv(path)
 
 
 def read_scores(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
