@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -27,16 +27,20 @@ def projected(vectors: DataFrame, id_column: str, dims: int = 2) -> DataFrame:
     return model.transform(rows).select(id_column, *[point[i].alias(f"x{i}") for i in range(dims)])
 
 
-def _near_blocks(eps: float):
+def _points(blocks: pa.ListArray, dims: int) -> Iterator[np.ndarray]:
+    """Each block's points as a matrix."""
+    for at in range(len(blocks)):
+        yield blocks.slice(at, 1).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _near_blocks(eps: float, dims: int):
     """(a, b, x, y): representatives of two cells and blocks of their points -> pairs with points within eps."""
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Arrow's own memory, not a Python object a point: a batch may hold thousands of pairs of blocks.
         for batch in batches:
-            good = []
-            for x, y in zip(batch.x, batch.y):
-                p, q = np.array([list(v) for v in x]), np.array([list(v) for v in y])
-                good.append(bool((((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) <= eps * eps).any()))
-            yield batch.loc[good, ["a", "b"]]
+            good = [bool((((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) <= eps * eps).any()) for p, q in zip(_points(batch.column("x"), dims), _points(batch.column("y"), dims))]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return check
 
@@ -70,7 +74,7 @@ def dbscan(points: DataFrame, id_column: str, eps: float = 0.5, least: int = 5,
     a = around(packed.select(F.col("least_id").alias("a"), F.col("items").alias("x"), *cell))
     b = packed.select(F.col("least_id").alias("b"), F.col("items").alias("y"), *cell)
     kind = core.schema["id"].dataType.simpleString()
-    linked = a.join(b, cell).filter("a < b").select("a", "b", "x", "y").mapInPandas(_near_blocks(eps), f"a {kind}, b {kind}")
+    linked = a.join(b, cell).filter("a < b").select("a", "b", "x", "y").mapInArrow(_near_blocks(eps, dims), f"a {kind}, b {kind}")
     roots = components(linked.unionByName(cells.select(F.col("least_id").alias("a"), F.col("least_id").alias("b"))).toDF("src", "dst"))
 
     of_core = core.join(cells.select(*cell, F.col("least_id").alias("node")), cell).join(roots, "node").select("id", "component")

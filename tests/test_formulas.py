@@ -198,3 +198,13 @@ def test_exact_quantiles(spark):
         got = one(scoring.exact_quantiles(spark.createDataFrame([(v,) for v in [*values, None]], "s double"), "s", [0.0, 0.05, 0.5, 0.9, 1.0]))
         assert list(got) == pytest.approx(np.quantile(values, [0.0, 0.05, 0.5, 0.9, 1.0]).tolist())
     assert list(one(scoring.exact_quantiles(spark.createDataFrame([], "s double"), "s", [0.5]))) == [None]
+
+
+def test_near_blocks():
+    """Blocks of points as Arrow lists: pairs with two points within reach."""
+    import pyarrow as pa
+    from candorlake.operators.cluster import _near_blocks
+
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2], "b": [3, 4], "x": [[[0.0, 0.0], [5.0, 5.0]], [[0.0, 0.0]]], "y": [[[5.0, 5.3]], [[9.0, 9.0], [1.0, 0.0]]]})
+    (out,) = _near_blocks(0.5, 2)(iter([batch]))
+    assert out.to_pydict() == {"a": [1], "b": [3]}
